@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def load():
     """All queries and their SQL."""
-    from checks import features, registry  # noqa: F401
+    from checks import evaluation, features, registry, splits  # noqa: F401
 
     return registry.QUERIES, registry.SQL

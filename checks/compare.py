@@ -60,7 +60,7 @@ def main() -> int:
             rows = [tuple(r) for r in df.collect()]
         except Exception as error:  # report and go on with the next query
             bad += 1
-            print(f"{name:34} SPARK FAILED {str(error)[:1500]}", flush=True)
+            print(f"{name:34} SPARK FAILED {str(error)[:400]}", flush=True)
             continue
         took = time.time() - start
         if name not in sql:
@@ -73,7 +73,7 @@ def main() -> int:
             expected = answer.fetchall()
         except Exception as error:
             bad += 1
-            print(f"{name:34} SQL FAILED {str(error)[:1500]}", flush=True)
+            print(f"{name:34} SQL FAILED {str(error)[:400]}", flush=True)
             continue
         mine, theirs = bag(df.columns, rows), bag(columns, expected)
         same = mine == theirs and sorted(df.columns) == sorted(columns)

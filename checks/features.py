@@ -398,12 +398,16 @@ def _(s):
     return rounded(profile.shape(s.playlists, "num_tracks"), "skewness", "iqr")
 
 
+_NATION_MEANS = (
+    "SELECT CAST(c_nationkey AS VARCHAR) AS bucket, avg(num_tracks) AS num_tracks, count(*) AS n "
+    "FROM plist JOIN customer ON pid = c_custkey GROUP BY ALL"
+)
+
+
 @query(
     "d20_bucket_means",
-    """WITH m AS (SELECT CAST(c_nationkey AS VARCHAR) AS bucket, avg(num_tracks) AS num_tracks, count(*) AS n
-         FROM plist JOIN customer ON pid = c_custkey GROUP BY ALL)
-       SELECT bucket, round(num_tracks, 6) AS num_tracks, n FROM m
-       UNION ALL SELECT 'avg', round(avg(num_tracks), 6), CAST(sum(n) AS BIGINT) FROM m""",
+    f"SELECT bucket, round(num_tracks, 6) AS num_tracks, n FROM ({_NATION_MEANS}) UNION ALL "
+    f"SELECT 'avg', round(avg(num_tracks), 6), CAST(sum(n) AS BIGINT) FROM ({_NATION_MEANS})",
 )
 def _(s):
     nation = s.table("customer").select(F.col("c_custkey").alias("pid"), F.col("c_nationkey").alias("bucket"))

@@ -90,7 +90,8 @@ TABLES: dict[str, str] = {
             o_orderkey AS order_id, o_orderstatus = 'F' AS is_final,
             l_linenumber AS line_no, l_partkey AS part_id, l_suppkey AS supplier_id
           FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)""",
-    "rare_tracks": "SELECT * REPLACE (track_uri || ':' || album_uri AS track_uri) FROM e_tracks",
+    "rare_tracks": """
+        SELECT * REPLACE (track_uri || ':' || CAST(album_uri AS BIGINT) % 5 AS track_uri) FROM e_tracks""",
     "pop": "SELECT track_uri, count(*) AS popularity FROM e_tracks GROUP BY track_uri",
     "apop": "SELECT artist_uri, count(*) AS popularity FROM e_tracks GROUP BY artist_uri",
     "titles": """
@@ -141,6 +142,9 @@ TABLES: dict[str, str] = {
     "seeds": "SELECT pid, pos, track_uri FROM part_tracks WHERE part = 'test' AND is_seed",
     "truth": "SELECT pid, pos - k AS pos, track_uri, k FROM part_tracks WHERE part = 'test' AND NOT is_seed",
     "inclusion": "SELECT DISTINCT track_uri FROM part_tracks WHERE part <> 'train'",
+    "cover": """
+        SELECT DISTINCT pid FROM (SELECT track_uri, min(pid) AS pid FROM train_tracks
+          WHERE track_uri IN (SELECT track_uri FROM inclusion) GROUP BY track_uri)""",
     "train_pop": "SELECT track_uri, count(*) AS freq FROM train_tracks GROUP BY track_uri",
     "vocab_items": """
         SELECT track_uri, row_number() OVER (ORDER BY freq DESC, md5('vocab:' || track_uri), track_uri) + 1 AS item_id,
@@ -184,13 +188,13 @@ TABLES: dict[str, str] = {
         WHERE rank <= 500""",
     "train_keys": """
         SELECT pid, key, md5('title:' || pid) AS tie FROM (SELECT pid, CASE WHEN
-          len(list_filter(regexp_split_to_array(lower(name), '\\s+'), x -> x <> '')) > 0 THEN
-          array_to_string(list_filter(regexp_split_to_array(lower(name), '\\s+'), x -> x <> ''), '_')
+          len(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda x: x <> '')) > 0 THEN
+          array_to_string(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda x: x <> ''), '_')
           ELSE name END AS key FROM train_lists) WHERE key IS NOT NULL""",
     "test_keys": """
         SELECT pid, k, CASE WHEN
-          len(list_filter(regexp_split_to_array(lower(name), '\\s+'), x -> x <> '')) > 0 THEN
-          array_to_string(list_filter(regexp_split_to_array(lower(name), '\\s+'), x -> x <> ''), '_')
+          len(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda x: x <> '')) > 0 THEN
+          array_to_string(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda x: x <> ''), '_')
           ELSE name END AS key FROM test_lists""",
     "near_titles": f"""
         SELECT pid, k, rank, candidate, distance FROM (
@@ -200,10 +204,10 @@ TABLES: dict[str, str] = {
         WHERE rank <= {TIES + 1}""",
     "title_tokens": f"""
         SELECT name, unnest(list_concat(
-          flatten(list_transform(toks, t -> CASE {' '.join(f"WHEN t = {quoted(k)} THEN {w!r}" for k, w in SLANG)} ELSE [] END)),
-          list_filter(toks, t -> t NOT IN ('playlist', 'music')))) AS token
+          flatten(list_transform(toks, lambda t: CASE {' '.join(f"WHEN t = {quoted(k)} THEN {w!r}" for k, w in SLANG)} ELSE [] END)),
+          list_filter(toks, lambda t: t NOT IN ('playlist', 'music')))) AS token
         FROM (SELECT name, list_transform(string_split(squeezed, ' '),
-            t -> trim(translate(trim(t), {quoted('_' + PUNCTUATION)}, ' '))) AS toks
+            lambda t: trim(translate(trim(t), {quoted('_' + PUNCTUATION)}, ' '))) AS toks
           FROM (SELECT name, CASE WHEN length(replace(t, ' ', '')) - 1 <= length(t) - length(replace(t, ' ', ''))
               THEN replace(t, ' ', '') ELSE t END AS squeezed
             FROM (SELECT DISTINCT name, {_replaced(_replaced('trim(lower(name))', SLANG), EMOJI_TERMS, ' ')} AS t FROM names)))""",
@@ -254,5 +258,5 @@ TABLES: dict[str, str] = {
     "doc_tokens": """
         SELECT doc_id, generate_subscripts(w, 1) - 1 AS at, unnest(w) AS token FROM (
           SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'),
-            x -> x NOT IN ('the', 'and', 'of', 'la', 'le', 'der', 'en')) AS w FROM documents)""",
+            lambda x: x NOT IN ('the', 'and', 'of', 'la', 'le', 'der', 'en')) AS w FROM documents)""",
 }

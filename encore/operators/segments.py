@@ -81,16 +81,17 @@ def corpus_windows(corpus: DataFrame, length: int, step: int, item: str = "item_
 def next_items(tracks: DataFrame, item: str = "track_uri", max_gap: int = 1) -> DataFrame:
     """Pairs (pid, prev, next, gap) of items at most ``max_gap`` places apart."""
     cut = segments(tracks, "pos", item, ["pid"], max_gap)
-    parts = []
-    for gap in range(1, max_gap + 1):
-        n = F.least(F.size("items") - gap, F.col("_width"))
-        ahead = F.slice("items", gap + 1, F.greatest(n, F.lit(0)))
-        here = F.slice("items", 1, F.greatest(n, F.lit(0)))
-        parts.append(
-            F.zip_with(here, ahead, lambda a, b, g=gap: F.struct(a.alias("prev"), b.alias("next"), F.lit(g).alias("gap")))
-        )
-    pairs = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return cut.select("pid", F.inline(pairs))
+    gaps = [_gap_pairs(gap) for gap in range(1, max_gap + 1)]
+    return cut.select("pid", F.inline(F.concat(*gaps)))
+
+
+def _gap_pairs(gap: int) -> Column:
+    n = F.greatest(F.least(F.size("items") - gap, F.col("_width")), F.lit(0))
+    return F.zip_with(
+        F.slice("items", 1, n),
+        F.slice("items", gap + 1, n),
+        lambda a, b: F.struct(a.alias("prev"), b.alias("next"), F.lit(gap).alias("gap")),
+    )
 
 
 def dense_positions(rows: DataFrame, item: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,3 +45,13 @@ def stored(
     if recompute or not is_complete(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several branches need, and read it back.
+
+    Its lineage ends here, and its true size is known to the planner.
+    """
+    path = f"{workspace(df.sparkSession)}/cuts/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
