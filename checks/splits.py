@@ -435,7 +435,6 @@ def _(s):
     other = s.lists.select(F.col("pid").alias("other"), F.col("part").alias("p"), "k", "num_tracks")
     pairs = s.lists.where("part = 'dev'").select("pid", "k").join(other.where("p = 'test'"), "k")
     tracks = s.tracks.groupBy(F.col("pid").alias("other"), "track_uri").agg(F.count(F.lit(1)).alias("c"))
-    weights = s.playlists.select(F.col("pid").alias("other"), "num_tracks")
-    heavy = split.heavy_keys(weights, "other", "num_tracks")
-    rows = salted_join(tracks, pairs.select("pid", "other"), "other", heavy=heavy)
+    sizes = s.playlists.select(F.col("pid").alias("other"), "num_tracks")
+    rows = salted_join(tracks, pairs.select("pid", "other"), "other", "num_tracks", sizes=sizes)
     return rows.groupBy("pid", "track_uri").agg(F.sum("c").alias("n"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from encore.operators.profile import describe_delta
 from encore.operators.ranking import hash_block, hash_order, split_rank
-from encore.operators.skew import heavy_keys, salted_join
+from encore.operators.skew import salted_join
+from encore.sources.workspace import cut
 
 SEED_COUNTS = (0, 1, 5, 10, 25, 100)
 
@@ -49,7 +50,8 @@ def covered_candidates(test: DataFrame, train: DataFrame) -> DataFrame:
 
 def draw_eval(candidates: DataFrame, seed: int, size: int | None = None) -> DataFrame:
     """(pid, part): ``size`` drawn candidates (default all), first half dev, rest test."""
-    ranked = _drawn(candidates.select("pid"), seed, "_rank")
+    candidates = cut(candidates.select("pid"))
+    ranked = _drawn(candidates, seed, "_rank")
     if size is None:
         half = F.floor(candidates.agg(F.count(F.lit(1))).scalar() / 2)
     else:
@@ -108,9 +110,11 @@ def covering_sample(train: DataFrame, wanted: DataFrame, share: float, seed: int
     it is the first holder of some wanted track.
     """
     first = train.groupBy("track_uri").agg(F.min("pid").alias("pid"))
-    cover = first.join(wanted.select("track_uri").distinct(), "track_uri", "left_semi").select("pid").distinct()
-    pids = train.select("pid").distinct()
-    rest = _drawn(pids.join(cover, "pid", "left_anti"), seed, "_rank")
+    cover = cut(
+        first.join(wanted.select("track_uri").distinct(), "track_uri", "left_semi").select("pid").distinct()
+    )
+    pids = cut(train.select("pid").distinct())
+    rest = _drawn(cut(pids.join(cover, "pid", "left_anti")), seed, "_rank")
     size = F.floor(pids.agg(F.count(F.lit(1))).scalar() * share) - cover.agg(F.count(F.lit(1))).scalar()
     fill = rest.where(F.col("_rank") <= size)
     return cover.withColumn("reason", F.lit("cover")).unionByName(
@@ -125,8 +129,7 @@ def eval_tracks(entries: DataFrame) -> DataFrame:
 
 def entries_of(tracks: DataFrame, pids: DataFrame) -> DataFrame:
     """Entries of the given playlists, when their lengths are not at hand."""
-    sizes = tracks.groupBy("pid").agg(F.count(F.lit(1)).alias("_n"))
-    return salted_join(tracks, pids, "pid", heavy=heavy_keys(sizes, "pid", "_n"))
+    return salted_join(tracks, pids, "pid")
 
 
 def split_report(train: DataFrame, dev: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from encore.functions.text import EMOJI, words
-from encore.operators.skew import heavy_keys, salted_join
+from encore.operators.skew import salted_join
+from encore.sources.workspace import cut
 
 # Ids per posting block, so that no posting list is one unbounded array.
 POSTINGS = 4096
@@ -21,8 +22,7 @@ def tokens(docs: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
 
 def lemmatise(rows: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Add ``lemma`` from a (token, lemma) table; unknown tokens stand for themselves."""
-    uses = rows.groupBy("token").agg(F.count(F.lit(1)).alias("_uses"))
-    named = salted_join(rows, lemmas, "token", heavy=heavy_keys(uses, "token", "_uses"), how="left")
+    named = salted_join(rows, lemmas, "token", how="left")
     return named.withColumn("lemma", F.coalesce("lemma", "token"))
 
 
@@ -41,7 +41,7 @@ def tf_idf(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     N counts all documents, empty ones too.
     """
-    counts = rows.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(rows.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")))
     lengths = counts.groupBy("doc_id").agg(F.sum("n").alias("length"), F.count(F.lit(1)).alias("_terms"))
     seen = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     total = docs.agg(F.count(F.lit(1))).scalar()

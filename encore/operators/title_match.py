@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from encore.functions.titles import title_key
 from encore.operators.nearest import nearest
 from encore.operators.ranking import accumulate_until, hash_order, top_k_per
-from encore.operators.skew import heavy_keys, salted_join
+from encore.operators.skew import salted_join
+from encore.sources.workspace import cut
 
 # Fixed value: with more tied playlists than this, that many of them vote.
 TIES = 100
@@ -44,13 +45,9 @@ def _expand(found: DataFrame, lists: DataFrame, keyed: DataFrame, tie: str, m: i
     members = top_k_per(keyed, ["name"], [tie], m, "_member").select(
         "name", F.col("pid").alias("candidate"), F.col(tie).alias("_tie")
     )
-    chosen = found.groupBy("name").agg(F.count(F.lit(1)).alias("_uses"))
-    per_query = salted_join(
-        found.select("query", "name", "cost"), members, "name", heavy=heavy_keys(chosen, "name", "_uses")
-    )
+    per_query = salted_join(cut(found.select("query", "name", "cost")), members, "name")
     ranked = top_k_per(per_query, ["query"], ["cost", "_tie"], m).drop("name", "_tie", "_member")
-    asked = lists.groupBy("query").agg(F.count(F.lit(1)).alias("_uses"))
-    return salted_join(lists, ranked, "query", heavy=heavy_keys(asked, "query", "_uses")).select(
+    return salted_join(lists, ranked, "query").select(
         "pid", "rank", "candidate", "cost"
     )
 
@@ -73,16 +70,11 @@ def candidate_mentions(candidates: DataFrame, tracks: DataFrame, value: str) ->
 
     A playlist is reduced to its distinct tracks before the join.
     """
-    wanted = candidates.groupBy("candidate").agg(F.count(F.lit(1)).alias("_uses"))
     mentions = tracks.groupBy(F.col("pid").alias("candidate"), "track_uri").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos")
     )
-    sizes = tracks.groupBy(F.col("pid").alias("candidate")).agg(F.count(F.lit(1)).alias("_n"))
-    used = sizes.join(wanted, "candidate")
-    return salted_join(
-        mentions, candidates.select("pid", "rank", value, "candidate"), "candidate",
-        heavy=heavy_keys(used, "candidate", "_n"),
-    ).select("pid", "rank", value, "track_uri", "n", "pos")
+    wanted = candidates.select("pid", "rank", value, "candidate")
+    return salted_join(mentions, wanted, "candidate").select("pid", "rank", value, "track_uri", "n", "pos")
 
 
 def vote_by_title(near: DataFrame, tracks: DataFrame, seed_k: int = 100) -> DataFrame:

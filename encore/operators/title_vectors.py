@@ -8,8 +8,9 @@ from encore.functions.titles import Terms, title_tokens
 from encore.functions.vectors import mean_vector, norm
 from encore.operators.nearest import nearest
 from encore.operators.ranking import top_k_per
-from encore.operators.skew import heavy_keys, salted_join
+from encore.operators.skew import salted_join
 from encore.operators.title_match import _expand, candidate_mentions
+from encore.sources.workspace import cut
 
 
 def title_vectors(names: DataFrame, words: DataFrame, slang: Terms, emoji: Terms) -> DataFrame:
@@ -23,8 +24,7 @@ def title_vectors(names: DataFrame, words: DataFrame, slang: Terms, emoji: Terms
         .select("name", F.posexplode(title_tokens(F.col("name"), slang, emoji)).alias("at", "token"))
         .where("token <> ''")
     )
-    uses = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_uses"))
-    known = salted_join(tokens, words, "token", heavy=heavy_keys(uses, "token", "_uses"))
+    known = salted_join(cut(tokens), words, "token")
     gathered = known.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("token", "at", "vec"))).alias("_v"))
     return gathered.select("name", mean_vector(F.transform("_v", lambda v: v["vec"])).alias("vec"))
 
@@ -37,10 +37,7 @@ def unit(vectors: DataFrame, column: str = "vec") -> DataFrame:
 
 def vector_table(playlists: DataFrame, vectors: DataFrame) -> DataFrame:
     """(pid, name, vec): playlists with a title vector, spread by title and playlist."""
-    uses = playlists.groupBy("name").agg(F.count(F.lit(1)).alias("_uses"))
-    return salted_join(
-        playlists.select("pid", "name"), vectors, "name", heavy=heavy_keys(uses, "name", "_uses")
-    )
+    return salted_join(playlists.select("pid", "name"), vectors, "name")
 
 
 def similar_playlists(lists: DataFrame, train: DataFrame, vectors: DataFrame, k: int = 100) -> DataFrame:
@@ -49,7 +46,7 @@ def similar_playlists(lists: DataFrame, train: DataFrame, vectors: DataFrame, k:
     ``vectors`` holds (name, vec) for the titles of both sides. Titles are
     compared once; equal similarities go by playlist id.
     """
-    scaled = unit(vectors)
+    scaled = cut(unit(vectors))
     base = (
         train.where("name is not null").groupBy("name").agg(F.min("pid").alias("tie"))
         .join(scaled, "name").select("name", "tie", F.col("vec").alias("item"))

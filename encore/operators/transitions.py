@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from encore.operators.ranking import top_k_per
 from encore.operators.segments import next_items
-from encore.operators.skew import heavy_keys, salted_join
+from encore.operators.skew import salted_join
+from encore.sources.workspace import cut
 
 
 def fit_transitions(tracks: DataFrame, max_gap: int = 1) -> DataFrame:
     """(prev, next, n, total, p): how often ``next`` follows ``prev``."""
-    pairs = (
+    pairs = cut(
         next_items(tracks, "track_uri", max_gap)
         .groupBy("prev", "next")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -52,13 +53,12 @@ def _known_seeds(seeds: DataFrame, transitions: DataFrame) -> DataFrame:
     known = transitions.groupBy("prev").agg(F.max("total").alias("total"))
     usable = salted_join(mentions, known, "prev", "total").drop("total")
     sizes = usable.groupBy("pid").agg(F.sum("m").alias("of"))
-    return usable.join(sizes, "pid").select("pid", "prev", (F.col("m") / F.col("of")).alias("weight"))
+    return cut(usable.join(sizes, "pid").select("pid", "prev", (F.col("m") / F.col("of")).alias("weight")))
 
 
 def _steps(weights: DataFrame, transitions: DataFrame) -> DataFrame:
     """Step scores of one hop: weight times transition probability."""
-    uses = weights.groupBy("prev").agg(F.count(F.lit(1)).alias("_uses"))
-    return salted_join(weights, transitions, "prev", heavy=heavy_keys(uses, "prev", "_uses")).select(
+    return salted_join(weights, transitions, "prev").select(
         "pid", F.col("next").alias("track_uri"), (F.col("weight") * F.col("p")).alias("score")
     )
 
@@ -72,7 +72,7 @@ def continue_semi(seeds: DataFrame, transitions: DataFrame, n: int = 500) -> Dat
     """Semi-guided: steps alternate between a seed and its own best prediction."""
     first = _known_seeds(seeds, transitions)
     best = best_next(transitions).select("prev", "next", "total")
-    second = (
+    second = cut(
         salted_join(first, best, "prev", "total")
         .groupBy("pid", F.col("next").alias("prev"))
         .agg(F.sum("weight").alias("weight"))

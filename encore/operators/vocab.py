@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from encore.operators.profile import popularity
 from encore.operators.ranking import hash_block, hash_order, prefix_sum, split_rank
 from encore.operators.skew import salted_join
+from encore.sources.workspace import cut
 
 # Reserved tokens and their ids.
 EOS, UNK = "<eos>", "<unk>"
@@ -17,7 +18,7 @@ FIRST_ID = 2
 def rank_ids(counts: DataFrame, first_id: int = 0) -> DataFrame:
     """(track_uri, item_id, freq): ids by falling count, ties in a fixed hash order."""
     rows = (
-        counts.withColumn("_fall", -F.col("freq"))
+        cut(counts).withColumn("_fall", -F.col("freq"))
         .withColumn("_hash", hash_order("vocab", "track_uri"))
         .withColumn("_hash_block", hash_block(F.col("_hash")))
     )
@@ -70,8 +71,7 @@ def corpus(encoded: DataFrame) -> DataFrame:
     ``pos`` must be dense in each playlist.
     """
     sizes = (
-        encoded.groupBy("pid")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        cut(encoded.groupBy("pid").agg(F.count(F.lit(1)).alias("_n")))
         .withColumn("_million", F.floor(F.col("pid") / 1000000))
         .withColumn("_thousand", F.floor(F.col("pid") / 1000))
     )
@@ -98,7 +98,7 @@ def window_counts(lists: DataFrame, length: int, step: int, batch: int) -> DataF
 
 def batches(windows: DataFrame, size: int, seed: int) -> DataFrame:
     """Give each window (pid, start) its batch number in a fixed shuffled order."""
-    rows = windows.withColumn("_hash", hash_order(seed, "pid", "start")).withColumn(
+    rows = cut(windows).withColumn("_hash", hash_order(seed, "pid", "start")).withColumn(
         "_hash_block", hash_block(F.col("_hash"))
     )
     ranked = split_rank(rows, ["_hash", "pid", "start"], "_rank", [], ["_hash_block"])
