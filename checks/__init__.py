@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def load():
     """All queries and their SQL."""
-    from checks import evaluation, features, registry, splits, titles  # noqa: F401
+    from checks import evaluation, features, recommend, registry, sources, splits, text, titles  # noqa: F401
 
     return registry.QUERIES, registry.SQL

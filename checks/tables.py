@@ -257,7 +257,7 @@ TABLES: dict[str, str] = {
         WHERE rank <= 500""",
     "mine": "SELECT pid, track_uri AS seed, min(pos) AS list_no FROM item_seeds GROUP BY ALL",
     "doc_tokens": """
-        SELECT doc_id, generate_subscripts(w, 1) - 1 AS at, unnest(w) AS token FROM (
+        SELECT doc_id, generate_subscripts(w, 1) - 1 AS "at", unnest(w) AS token FROM (
           SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'),
             lambda x: x NOT IN ('the', 'and', 'of', 'la', 'le', 'der', 'en')) AS w FROM documents)""",
 }

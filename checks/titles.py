@@ -217,15 +217,13 @@ def _(s):
 
 @query(
     "i11_fill_seeds",
-    f"""SELECT pid, rank, track_uri, 'vector' AS source FROM ({_similar_vote(SEED_K, 'k = 0 AND l.pid % 2 = 0')})
+    f"""SELECT pid, rank, track_uri, 'vector' AS source FROM ({_similar_vote(SEED_K, 'k = 0')})
         UNION ALL SELECT pid, rank, track_uri, 'title' FROM ({_vote_sql(SEED_K, 'k = 0')})
-        WHERE pid NOT IN (SELECT pid FROM similar_lists WHERE pid % 2 = 0)""",
+        WHERE pid NOT IN (SELECT pid FROM similar_lists)""",
 )
 def _(s):
-    # Even playlists stand for those whose title has a vector, so that both sources are used.
     cold = s.test_lists.where("k = 0").select("pid")
-    some = similar(s).join(cold, "pid", "left_semi").where("pid % 2 = 0")
-    by_vector = title_vectors.vote_by_similarity(some, s.train, SEED_K)
+    by_vector = title_vectors.vote_by_similarity(similar(s).join(cold, "pid", "left_semi"), s.train, SEED_K)
     by_title = title_match.vote_by_title(near(s).join(cold, "pid", "left_semi"), s.train, SEED_K)
     return title_vectors.fill_seeds(s.test_lists, by_vector, by_title)
 
