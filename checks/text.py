@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query, rounded
 from encore.functions.text import clean_html
 from encore.operators import ranking, textmining
+from encore.sources.workspace import spread
 
 STOP = ["the", "and", "of", "la", "le", "der", "en"]
 MARKS = "[%*#&$]"
@@ -95,7 +96,7 @@ _SYMBOLS = f"(SELECT page_id, unnest(regexp_extract_all(html, '{MARKS}')) AS tok
 
 
 def pages(s):
-    return s.table("pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return spread(s.table("pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
 
 
 @query("m9_symbol_profile", f"SELECT token, count(*) AS n, count(DISTINCT page_id) AS docs FROM {_SYMBOLS} GROUP BY token")
@@ -115,4 +116,4 @@ def _(s):
        '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')) AS text FROM pages""",
 )
 def _(s):
-    return s.table("pages").select("page_id", F.md5(clean_html(F.col("html"))).alias("text"))
+    return pages(s).select(F.col("doc_id").alias("page_id"), F.md5(clean_html(F.col("text"))).alias("text"))

@@ -14,6 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from encore.operators.ranking import top_k_per
+from encore.sources.workspace import cut
 
 # Queries that may be broadcast, and rows per side of one grid group.
 MAX_BROADCAST = 4096
@@ -55,19 +56,29 @@ def _best(costs, ties, names, queries, k, step=256):
     import numpy as np
     import pandas as pd
 
-    n, found = len(names), []
+    place = np.empty(len(names), dtype=np.int64)
+    place[np.argsort(ties, kind="stable")] = np.arange(len(names))
+    rows, prices, asked = [], [], []
     for lo in range(0, len(queries), step):
         block = costs(lo, lo + step)
         for j in range(block.shape[1]):
             cost = block[:, j]
-            keep = np.arange(n)
-            if n > k:
+            keep = np.arange(len(names))
+            if len(names) > k:
                 keep = np.flatnonzero(cost <= np.partition(cost, k - 1)[k - 1])
-            part = pd.DataFrame({"name": names[keep], "tie": ties[keep], "cost": cost[keep]})
-            if len(part) > k:
-                part = part.sort_values(["cost", "tie"]).head(k)
-            found.append(part.assign(query=queries[lo + j]))
-    return pd.concat(found)[["query", "name", "tie", "cost"]]
+                keep = keep[np.lexsort((place[keep], cost[keep]))[:k]]
+            rows.append(keep)
+            prices.append(cost[keep])
+            asked.append(np.full(len(keep), lo + j))
+    rows, asked = np.concatenate(rows), np.concatenate(asked)
+    return pd.DataFrame(
+        {
+            "query": np.array(queries, dtype=object)[asked],
+            "name": names[rows],
+            "tie": ties[rows],
+            "cost": np.concatenate(prices),
+        }
+    )
 
 
 def _finder(kind: str, k: int):
@@ -106,7 +117,9 @@ def nearest(
             T.StructField("cost", T.DoubleType()),
         ]
     )
-    base = base.select("name", "tie", "item")
+    base = cut(base.select("name", "tie", "item"))
+    rows = base.count()
+    parallel = base.sparkSession.sparkContext.defaultParallelism
     head = queries.select("query", "item").limit(max_broadcast + 1).collect()
     if len(head) <= max_broadcast:
         names = [r["query"] for r in head]
@@ -118,16 +131,17 @@ def nearest(
                 if len(rows) and sent.value[0]:
                     yield find(rows, *sent.value)
 
-        found = base.mapInPandas(scan, schema)
+        parts = max(parallel, rows // GRID_ROWS + 1)
+        found = base.repartition(parts, "name").mapInPandas(scan, schema)
     else:
-        cells = base.agg(F.ceil(F.count(F.lit(1)) / GRID_ROWS)).scalar()
-        blocks = queries.agg(F.ceil(F.count(F.lit(1)) / GRID_ROWS)).scalar()
-        left = base.withColumn("cell", F.pmod(F.xxhash64("name"), cells)).withColumn(
-            "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+        queries = cut(queries.select("query", "item"))
+        cells, blocks = rows // GRID_ROWS + 1, queries.count() // GRID_ROWS + 1
+        left = base.withColumn("cell", F.pmod(F.xxhash64("name"), F.lit(cells))).withColumn(
+            "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        )
+        right = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn(
+            "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
         )
-        right = queries.select("query", "item").withColumn(
-            "block", F.pmod(F.xxhash64("query"), blocks)
-        ).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
 
         def meet(rows, asked):
             import pandas as pd

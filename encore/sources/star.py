@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from encore.operators import binning, profile, split
 from encore.sources.ordered import ordered
-from encore.sources.workspace import stored, workspace
+from encore.sources.workspace import spread, stored, workspace
 
 # Fixed values of the test set-up.
 ENTRY_ORDER = ["edited_at", "order_id", "line_no", "part_id", "supplier_id"]
@@ -79,7 +79,7 @@ class Star:
     def titles(self) -> DataFrame:
         """(doc_id, name): the first three words of each document."""
         letters = F.trim(F.regexp_replace(F.lower("text"), "[^a-z ]", ""))
-        return self.table("documents").select(
+        return self.docs.select(
             "doc_id", F.array_join(F.slice(F.split(letters, " "), 1, 3), " ").alias("name")
         )
 
@@ -215,7 +215,7 @@ class Star:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return self.table("documents").select("doc_id", "text")
+        return spread(self.table("documents").select("doc_id", "text"))
 
 
 _open: dict[tuple[str, str], Star] = {}
