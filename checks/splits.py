@@ -233,7 +233,17 @@ def _(s):
     return binning.rows_of_rare_strata(s.strata, CLASSES).select("pid")
 
 
-@query("f9_stratified_split", "SELECT pid, part FROM first_split")
+@query(
+    "f9_stratified_split",
+    f"""SELECT pid, CASE WHEN row_number() OVER (PARTITION BY num_tracks_class ORDER BY md5('{SPLIT_SEED}:' || pid), pid)
+          <= floor(count(*) OVER (PARTITION BY num_tracks_class) * 0.1 + 0.5) THEN 'test' ELSE 'train' END AS part
+        FROM strata""",
+)
+def _(s):
+    return split.stratified_split(s.strata, ["num_tracks_class"], TEST_SHARE, SPLIT_SEED)
+
+
+@query("f9_unstratified_split", "SELECT pid, part FROM first_split")
 def _(s):
     return split.stratified_split(s.strata, CLASSES, TEST_SHARE, SPLIT_SEED)
 

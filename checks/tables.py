@@ -115,9 +115,10 @@ TABLES: dict[str, str] = {
     "q_edges": " UNION ALL ".join(_edges(c) for c in _STRATA),
     "strata": f"SELECT p.*, {', '.join(_class(c) for c in _STRATA)} FROM plist p",
     "first_split": f"""
-        SELECT pid, CASE WHEN row_number() OVER (PARTITION BY {_CLASSES} ORDER BY md5('{SPLIT_SEED}:' || pid), pid)
-          <= floor(count(*) OVER (PARTITION BY {_CLASSES}) * 0.1 + 0.5) THEN 'test' ELSE 'train' END AS part
-        FROM strata""",
+        SELECT pid, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY md5('{SPLIT_SEED}:' || pid), pid)
+          <= floor(count(*) OVER (PARTITION BY stratum) * 0.1 + 0.5) THEN 'test' ELSE 'train' END AS part
+        FROM (SELECT pid, CASE WHEN (SELECT min(n) FROM (SELECT count(*) AS n FROM strata GROUP BY {_CLASSES})) >= 2
+          THEN concat_ws('-', {_CLASSES}) ELSE 'all' END AS stratum FROM strata)""",
     "drawn": f"""
         SELECT pid, CASE WHEN row_number() OVER (ORDER BY md5('{EVAL_SEED}:' || pid), pid)
           <= floor(count(*) OVER () / 2) THEN 'dev' ELSE 'test' END AS part

@@ -22,11 +22,18 @@ def _drawn(df: DataFrame, seed: int | str, out: str, keys: list[str] | None = No
 
 
 def stratified_split(features: DataFrame, strata: list[str], share: float, seed: int) -> DataFrame:
-    """(pid, part): the given share of each stratum is ``test``, the rest ``train``."""
-    sizes = features.groupBy(*strata).agg(F.floor(F.count(F.lit(1)) * share + 0.5).alias("_take"))
-    ranked = _drawn(features.select("pid", *strata), seed, "_rank", strata)
-    part = F.when(F.col("_rank") <= F.col("_take"), "test").otherwise("train")
-    return ranked.join(sizes, strata).select("pid", part.alias("part"))
+    """(pid, part): the given share of each stratum is ``test``, the rest ``train``.
+
+    A stratum of one row cannot be split; if there is one, the share is drawn
+    from all rows.
+    """
+    sizes = cut(features.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")))
+    take = F.floor(F.col("_n") * share + 0.5)
+    if sizes.where("_n < 2").isEmpty():
+        ranked = _drawn(features.select("pid", *strata), seed, "_rank", strata).join(sizes, strata)
+    else:
+        ranked = _drawn(features.select("pid"), seed, "_rank").withColumn("_n", sizes.agg(F.sum("_n")).scalar())
+    return ranked.select("pid", F.when(F.col("_rank") <= take, "test").otherwise("train").alias("part"))
 
 
 def missing_tracks(test: DataFrame, train: DataFrame) -> DataFrame:
