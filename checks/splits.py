@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from checks.registry import query, rounded
 from checks.tables import _CLASSES
 from encore.operators import binning, profile, ranking, segments, split, vocab
-from encore.operators.skew import salted_join
 from encore.functions.classes import edge_class
 from encore.sources.star import EVAL_SEED, KS, SPLIT_SEED, BUCKET_SEED, TEST_SHARE
 
@@ -434,17 +433,3 @@ def _(s):
 )
 def _(s):
     return vocab.decode(_encoded(s).where(F.col("item_id") != vocab.EOS_ID), _vocab(s))
-
-
-@query(
-    "c6_candidate_tracks",
-    """SELECT l.pid, e.track_uri, count(*) AS n FROM lists l JOIN lists o ON l.part <> o.part AND l.k = o.k
-       JOIN e_tracks e ON e.pid = o.pid WHERE l.part = 'dev' GROUP BY ALL""",
-)
-def _(s):
-    other = s.lists.select(F.col("pid").alias("other"), F.col("part").alias("p"), "k", "num_tracks")
-    pairs = s.lists.where("part = 'dev'").select("pid", "k").join(other.where("p = 'test'"), "k")
-    tracks = s.tracks.groupBy(F.col("pid").alias("other"), "track_uri").agg(F.count(F.lit(1)).alias("c"))
-    sizes = s.playlists.select(F.col("pid").alias("other"), "num_tracks")
-    rows = salted_join(tracks, pairs.select("pid", "other"), "other", "num_tracks", sizes=sizes)
-    return rows.groupBy("pid", "track_uri").agg(F.sum("c").alias("n"))

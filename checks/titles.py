@@ -56,6 +56,16 @@ def _(s):
     return rows.withColumn("distance", F.col("distance").cast("long"))
 
 
+@query(
+    "c6_candidate_tracks",
+    """SELECT n.pid, n.rank, e.track_uri, count(*) AS n, min(pos) AS pos FROM near_titles n
+       JOIN train_tracks e ON e.pid = n.candidate WHERE n.rank <= 20 GROUP BY ALL""",
+)
+def _(s):
+    voters = near(s).where("rank <= 20")
+    return title_match.candidate_mentions(voters, s.train, "distance").drop("distance")
+
+
 def _vote_sql(k, where="true"):
     """Walk the nearest playlists until ``k`` distinct tracks, or let 100 tied ones vote."""
     return f"""

@@ -16,84 +16,110 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from encore.operators.ranking import top_k_per
 from encore.sources.workspace import cut
 
-# Queries that may be broadcast, and rows per side of one grid group.
+# Queries that may be broadcast, rows of one grid group, and result rows per step.
 MAX_BROADCAST = 4096
 GRID_ROWS = 16384
+STEP_ROWS = 1_000_000
 
 
-def _edit_costs(rows, queries):
-    """Unit-cost edit distances, one column per query."""
+def _distances(codes, lengths, query):
+    """Unit-cost edit distances of one query to texts given as columns of codes."""
     import numpy as np
 
-    lengths = np.array([len(r) for r in rows])
-    widest = int(lengths.max()) if len(rows) else 0
-    codes = np.zeros((widest, len(rows)), dtype=np.int32)
-    for i, r in enumerate(rows):
-        codes[: len(r), i] = [ord(c) for c in r]
-    costs = np.empty((len(rows), len(queries)))
-    at = np.arange(len(rows))
-    for j, query in enumerate(queries):
-        table = np.repeat(np.arange(widest + 1, dtype=np.int32)[:, None], len(rows), axis=1)
-        for i, c in enumerate(query, 1):
-            swap = table[:-1] + (codes != ord(c))
-            best = np.minimum(swap, table[1:] + 1)
-            table[0] = i
-            for w in range(widest):
-                np.minimum(best[w], table[w] + 1, out=table[w + 1])
-        costs[:, j] = table[lengths, at]
+    widest = int(lengths.max()) if len(lengths) else 0
+    codes = codes[:widest]
+    table = np.repeat(np.arange(widest + 1, dtype=np.int32)[:, None], len(lengths), axis=1)
+    for i, c in enumerate(query, 1):
+        swap = table[:-1] + (codes != c)
+        best = np.minimum(swap, table[1:] + 1)
+        table[0] = i
+        for w in range(widest):
+            np.minimum(best[w], table[w] + 1, out=table[w + 1])
+    return table[lengths, np.arange(len(lengths))]
+
+
+def _edit_costs(texts, k):
+    """Function from a query to its edit distances; texts that cannot be among
+    the k nearest get no distance.
+
+    Two texts are at least as far apart as the longer one has letters that the
+    other lacks. The most promising texts are compared first, then all those
+    that this bound does not rule out.
+    """
+    import numpy as np
+
+    lengths = np.array([len(t) for t in texts])
+    codes = np.zeros((max(lengths.max(), 1), len(texts)), dtype=np.int32)
+    letters = np.zeros((len(texts), 64), dtype=np.int16)
+    for i, t in enumerate(texts):
+        marks = [ord(c) for c in t]
+        codes[: len(t), i] = marks
+        for m in marks:
+            letters[i, m % 64] += 1
+    first_look = max(4 * k, 512)
+
+    def costs(query):
+        marks = [ord(c) for c in query]
+        if len(texts) <= first_look:
+            return _distances(codes, lengths, marks).astype(float)
+        own = np.bincount([m % 64 for m in marks], minlength=64)
+        bound = np.maximum(lengths, len(marks)) - np.minimum(letters, own).sum(axis=1)
+        cost = np.full(len(texts), np.inf)
+        near = np.argpartition(bound, first_look)[:first_look]
+        cost[near] = _distances(codes[:, near], lengths[near], marks)
+        limit = np.partition(cost[near], k - 1)[k - 1]
+        rest = np.flatnonzero((bound <= limit) & np.isinf(cost))
+        cost[rest] = _distances(codes[:, rest], lengths[rest], marks)
+        return cost
+
     return costs
 
 
-def _cosine_costs(rows, queries):
-    """Negative cosines of unit vectors at six decimals, one column per query."""
+def _cosine_costs(vectors, k):
+    """Function from a query to the negative cosines of unit vectors, at six decimals."""
     import numpy as np
 
-    return -np.round(np.array(list(rows)) @ np.array(list(queries)).T, 6) + 0.0
+    matrix = np.array(vectors)
 
+    def costs(query):
+        return -np.round(matrix @ np.array(query), 6) + 0.0
 
-def _best(costs, ties, names, queries, k, step=256):
-    """The k cheapest rows per query; equal costs go by ``ties``."""
-    import numpy as np
-    import pandas as pd
-
-    place = np.empty(len(names), dtype=np.int64)
-    place[np.argsort(ties, kind="stable")] = np.arange(len(names))
-    rows, prices, asked = [], [], []
-    for lo in range(0, len(queries), step):
-        block = costs(lo, lo + step)
-        for j in range(block.shape[1]):
-            cost = block[:, j]
-            keep = np.arange(len(names))
-            if len(names) > k:
-                keep = np.flatnonzero(cost <= np.partition(cost, k - 1)[k - 1])
-                keep = keep[np.lexsort((place[keep], cost[keep]))[:k]]
-            rows.append(keep)
-            prices.append(cost[keep])
-            asked.append(np.full(len(keep), lo + j))
-    rows, asked = np.concatenate(rows), np.concatenate(asked)
-    return pd.DataFrame(
-        {
-            "query": np.array(queries, dtype=object)[asked],
-            "name": names[rows],
-            "tie": ties[rows],
-            "cost": np.concatenate(prices),
-        }
-    )
+    return costs
 
 
 def _finder(kind: str, k: int):
-    """Function (pandas rows, query names, query payloads) -> best pairs."""
-    kernel, best = {"edit": _edit_costs, "cosine": _cosine_costs}[kind], _best
-
-    def find(rows, names, payloads):
-        items = list(rows["item"])
-        return best(
-            lambda lo, hi: kernel(items, payloads[lo:hi]),
-            rows["tie"].to_numpy(),
-            rows["name"].to_numpy(),
-            names,
-            k,
-        )
+    """Function (pandas rows, query names, query payloads) -> frames of best pairs."""
+    kernel, step_rows = {"edit": _edit_costs, "cosine": _cosine_costs}[kind], STEP_ROWS
+
+    def find(rows, asked, payloads):
+        import numpy as np
+        import pandas as pd
+
+        costs = kernel(list(rows["item"]), k)
+        names, ties = rows["name"].to_numpy(), rows["tie"].to_numpy()
+        place = np.empty(len(names), dtype=np.int64)
+        place[np.argsort(ties, kind="stable")] = np.arange(len(names))
+        step = max(1, step_rows // min(k, len(names)))
+        for lo in range(0, len(asked), step):
+            kept, prices, who = [], [], []
+            for j in range(lo, min(lo + step, len(asked))):
+                cost = costs(payloads[j])
+                keep = np.arange(len(names))
+                if len(names) > k:
+                    keep = np.flatnonzero(cost <= np.partition(cost, k - 1)[k - 1])
+                    keep = keep[np.lexsort((place[keep], cost[keep]))[:k]]
+                kept.append(keep)
+                prices.append(cost[keep])
+                who.append(np.full(len(keep), j))
+            at, by = np.concatenate(kept), np.concatenate(who)
+            yield pd.DataFrame(
+                {
+                    "query": np.array(asked, dtype=object)[by],
+                    "name": names[at],
+                    "tie": ties[at],
+                    "cost": np.concatenate(prices),
+                }
+            )
 
     return find
 
@@ -129,13 +155,15 @@ def nearest(
         def scan(batches):
             for rows in batches:
                 if len(rows) and sent.value[0]:
-                    yield find(rows, *sent.value)
+                    yield from find(rows, *sent.value)
 
         parts = max(parallel, rows // GRID_ROWS + 1)
         found = base.repartition(parts, "name").mapInPandas(scan, schema)
     else:
         queries = cut(queries.select("query", "item"))
-        cells, blocks = rows // GRID_ROWS + 1, queries.count() // GRID_ROWS + 1
+        # A group returns at most k rows per query, so large k means fewer queries.
+        per_block = max(1, min(GRID_ROWS, 4 * STEP_ROWS // k))
+        cells, blocks = rows // GRID_ROWS + 1, queries.count() // per_block + 1
         left = base.withColumn("cell", F.pmod(F.xxhash64("name"), F.lit(cells))).withColumn(
             "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
         )
@@ -148,7 +176,7 @@ def nearest(
 
             if not len(rows) or not len(asked):
                 return pd.DataFrame({f.name: [] for f in schema.fields})
-            return find(rows, list(asked["query"]), list(asked["item"]))
+            return pd.concat(find(rows, list(asked["query"]), list(asked["item"])))
 
         found = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(
             meet, schema

@@ -68,9 +68,11 @@ def nearest_titles(lists: DataFrame, train: DataFrame, m: int = TIES + 1) -> Dat
 def candidate_mentions(candidates: DataFrame, tracks: DataFrame, value: str) -> DataFrame:
     """(pid, rank, value, track_uri, n, pos): tracks of the candidate playlists.
 
-    A playlist is reduced to its distinct tracks before the join.
+    Other playlists are dropped first, and a candidate is reduced to its
+    distinct tracks before the join.
     """
-    mentions = tracks.groupBy(F.col("pid").alias("candidate"), "track_uri").agg(
+    chosen = cut(candidates.select(F.col("candidate").alias("pid")).distinct())
+    mentions = tracks.join(chosen, "pid", "left_semi").groupBy(F.col("pid").alias("candidate"), "track_uri").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos")
     )
     wanted = candidates.select("pid", "rank", value, "candidate")
