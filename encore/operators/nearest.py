@@ -87,9 +87,22 @@ def _cosine_costs(vectors, k):
     return costs
 
 
+def _dot_costs(vectors, k):
+    """Function from a query to the negative inner products."""
+    import numpy as np
+
+    matrix = np.array(vectors)
+
+    def costs(query):
+        return -(matrix @ np.array(query))
+
+    return costs
+
+
 def _finder(kind: str, k: int):
     """Function (pandas rows, query names, query payloads) -> frames of best pairs."""
-    kernel, step_rows = {"edit": _edit_costs, "cosine": _cosine_costs}[kind], STEP_ROWS
+    kernels = {"edit": _edit_costs, "cosine": _cosine_costs, "dot": _dot_costs}
+    kernel, step_rows = kernels[kind], STEP_ROWS
 
     def find(rows, asked, payloads):
         import numpy as np
@@ -130,7 +143,8 @@ def nearest(
     """(query, name, tie, cost, rank): the ``k`` nearest rows of each query.
 
     ``base`` has (name, tie, item), ``queries`` (query, item); ``tie`` orders
-    equal costs. ``kind`` is ``edit`` for texts or ``cosine`` for unit vectors.
+    equal costs. ``kind`` is ``edit`` for texts, ``cosine`` for unit vectors or
+    ``dot`` for the largest inner products.
     """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     find = _finder(kind, k)

@@ -44,7 +44,8 @@ class Star:
         return stored(self.spark, f"{self.path}/{name}", build)
 
     def _entries(self) -> DataFrame:
-        lines = self.table("lineitem").join(
+        columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
+        lines = spread(self.table("lineitem").select(*columns)).join(
             self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")
         )
         rows = lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))

@@ -170,3 +170,50 @@ def test_stored_table_is_built_once(spark):
 def test_top_k_cuts_before_the_shuffle(spark, skewed):
     plan = ranking.top_k_per(skewed, ["track_uri"], ["pid", "pos"], 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and plan.index("Partial") > 0
+
+
+def test_pruned_distances_keep_the_nearest():
+    from encore.operators.nearest import _edit_costs
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij_é") for _ in range(rng.randrange(0, 14)))
+    texts = sorted({word() for _ in range(1500)})
+    costs = _edit_costs(texts, 20)
+    skipped = 0
+    for query in [word() for _ in range(8)]:
+        found = costs(query)
+        exact = np.array([edit(query, t) for t in texts], dtype=float)
+        limit = np.sort(exact)[19]
+        assert (found[exact <= limit] == exact[exact <= limit]).all()
+        assert (found[~np.isinf(found)] == exact[~np.isinf(found)]).all()
+        skipped += np.isinf(found).sum()
+    assert skipped > 0
+
+
+def test_largest_inner_products_equal_the_model(spark):
+    from encore.operators import factorisation
+
+    rng = random.Random(6)
+    pairs = spark.createDataFrame([(rng.randrange(20), f"t{rng.randrange(40)}") for _ in range(200)], "pid long, track_uri string")
+    none = pairs.limit(0)
+    ratings = factorisation.interactions(pairs, none).cache()
+    model = factorisation.fit_wmf(ratings, rank=4, iterations=2)
+    mine = factorisation.wmf_recommend(model, ratings, ratings, n=5, max_seeds=40)
+    known = {(r["user"], r["item"]) for r in ratings.collect()}
+    want = {
+        r["user"]: [x["item"] for x in r["recommendations"] if (r["user"], x["item"]) not in known][:5]
+        for r in model.recommendForAllUsers(45).collect()
+    }
+    got = {}
+    for r in mine.orderBy("user", "rank").collect():
+        got.setdefault(r["user"], []).append(r["item"])
+    assert got == want
+
+
+def test_no_cross_joins_and_no_single_task_over_rows(tables):
+    """Neighbour searches must not be planned as cross joins."""
+    from checks import load
+
+    for name in ("c4_nearest_by_edit_distance", "i8_similar_playlists", "k3_continue_full", "j5_interleave"):
+        plan = load()[0][name](tables.spark, tables.folder)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "BatchEvalPython" not in plan
