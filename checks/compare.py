@@ -23,7 +23,7 @@ def plain(value):
     if isinstance(value, bool) or value is None:
         return value
     if isinstance(value, float):
-        return f"float {0.0 if value == 0 else value}"
+        return f"float {value}"
     return int(value) if hasattr(value, "as_integer_ratio") and value == int(value) else str(value)
 
 

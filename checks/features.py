@@ -307,8 +307,8 @@ def _(s):
 
 @query(
     "d13_name_collisions",
-    """SELECT track_name, CAST(sum(n) AS BIGINT) AS popularity, count(*) AS uris, max(n) AS largest, max(given) AS given,
-         CAST(sum(n) - max(given) AS BIGINT) AS delta
+    """SELECT track_name, CAST(sum(n) AS BIGINT) AS popularity, count(*) AS uris, max(n) AS largest,
+         coalesce(max(given), 0) AS given, coalesce(CAST(sum(n) - max(given) AS BIGINT), 0) AS delta
        FROM (SELECT track_name, track_uri, count(*) AS n FROM e_tracks GROUP BY ALL)
        LEFT JOIN (SELECT p_name AS track_name, 30 * count(*) AS given FROM part WHERE p_name LIKE 'b%' GROUP BY p_name)
        USING (track_name) GROUP BY track_name""",
@@ -318,7 +318,7 @@ def _(s):
         s.table("part").where("p_name like 'b%'").groupBy(F.col("p_name").alias("track_name"))
         .agg((30 * F.count(F.lit(1))).alias("given"))
     )
-    return profile.name_collisions(s.tracks, given, "track_uri", "track_name")
+    return profile.name_collisions(s.tracks, given, "track_uri", "track_name").fillna(0)
 
 
 @query(

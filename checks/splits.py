@@ -80,10 +80,11 @@ def _(s):
 
 @query(
     "e6_first_hit",
-    "SELECT pid, min(pos) FILTER (WHERE artist_uri = 'Brand#1') AS first_hit FROM e_tracks GROUP BY pid",
+    "SELECT pid, coalesce(min(pos) FILTER (WHERE artist_uri = 'Brand#1'), -1) AS first_hit FROM e_tracks GROUP BY pid",
 )
 def _(s):
-    return ranking.first_hit(s.tracks.withColumn("hit", F.col("artist_uri") == "Brand#1"), "pid", "pos")
+    rows = ranking.first_hit(s.tracks.withColumn("hit", F.col("artist_uri") == "Brand#1"), "pid", "pos")
+    return rows.withColumn("first_hit", F.coalesce("first_hit", F.lit(-1)))
 
 
 @query(
@@ -288,7 +289,7 @@ def _(s):
 @query(
     "f14_seed_truth",
     "SELECT pid, k, count(*) FILTER (WHERE is_seed) AS seeds, count(*) FILTER (WHERE NOT is_seed) AS hidden, "
-    "string_agg(track_uri, ' ' ORDER BY pos) FILTER (WHERE is_seed) AS seed FROM part_tracks "
+    "coalesce(string_agg(track_uri, ' ' ORDER BY pos) FILTER (WHERE is_seed), '') AS seed FROM part_tracks "
     "WHERE part <> 'train' GROUP BY ALL",
 )
 def _(s):
@@ -298,7 +299,7 @@ def _(s):
     return rows.groupBy("pid", "k").agg(
         F.count_if("is_seed").alias("seeds"),
         F.count_if(~F.col("is_seed")).alias("hidden"),
-        F.nullif(F.array_join(F.transform(shown, lambda c: c["track_uri"]), " "), F.lit("")).alias("seed"),
+        F.array_join(F.transform(shown, lambda c: c["track_uri"]), " ").alias("seed"),
     )
 
 

@@ -208,7 +208,7 @@ def _(s):
         base.select(F.col("vec_id").alias("name"), F.col("vec_id").alias("tie"), F.col("vec").alias("item")),
         title_vectors.unit(means, "item"), "cosine", 50,
     )
-    return found.select("query", F.col("name").alias("candidate"), "rank", (-F.col("cost")).alias("similarity"))
+    return found.select("query", F.col("name").alias("candidate"), "rank", (F.lit(0.0) - F.col("cost")).alias("similarity"))
 
 
 def _similar_vote(k, where="true"):

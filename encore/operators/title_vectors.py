@@ -59,7 +59,7 @@ def similar_playlists(lists: DataFrame, train: DataFrame, vectors: DataFrame, k:
     keyed = train.where("name is not null").select("pid", "name", F.col("pid").alias("tie"))
     asked = lists.select("pid", F.col("name").alias("query"))
     return _expand(found, asked, keyed, "tie", k).select(
-        "pid", "rank", "candidate", (-F.col("cost")).alias("similarity")
+        "pid", "rank", "candidate", (F.lit(0.0) - F.col("cost")).alias("similarity")
     )
 
 
