@@ -82,7 +82,7 @@ def metrics_sql(recs: str, truth: str, by: str = "") -> str:
 TABLES: dict[str, str] = {
     "e_tracks": """
         SELECT *, row_number() OVER (PARTITION BY pid
-          ORDER BY edited_at, order_id, line_no, part_id, supplier_id) - 1 AS pos
+          ORDER BY edited_at, order_id, line_no, part_id, supplier_id, duration_ms) - 1 AS pos
         FROM (SELECT o_custkey AS pid, CAST(l_partkey AS VARCHAR) AS track_uri, p_name AS track_name,
             p_brand AS artist_uri, CAST(l_suppkey AS VARCHAR) AS album_uri,
             CAST(l_quantity * 1000 AS BIGINT) AS duration_ms,

@@ -16,7 +16,7 @@ from encore.sources.ordered import ordered
 from encore.sources.workspace import spread, stored, workspace
 
 # Fixed values of the test set-up.
-ENTRY_ORDER = ["edited_at", "order_id", "line_no", "part_id", "supplier_id"]
+ENTRY_ORDER = ["edited_at", "order_id", "line_no", "part_id", "supplier_id", "duration_ms"]
 KS = (0, 1, 5, 10, 15, 25)
 TEST_SHARE = 0.1
 SPLIT_SEED, EVAL_SEED, BUCKET_SEED = 42, 43, 44
