@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import zlib
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -15,59 +17,105 @@ from encore.sources.workspace import cut
 
 CAPACITY = 2048
 END = 0
-CACHED_WORDS = 400_000
+CACHED_PIECES = 300_000
+# In front of a remembered piece: it goes through the whole tokenizer.
+WHOLE = "\0"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BLOCK_ROWS = 50_000
 
 _encoders: dict = {}
 
 
+# Bytes as the printable characters that stand for them in byte-level vocabularies.
+_shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _shown)}
+
+
 class WordEncoder:
-    """Ids of words, each distinct word encoded once per worker process.
+    """Ids of words, each distinct one encoded once as long as it is remembered.
 
-    The vocabulary splits at white space, so a text's ids are those of its words
-    one after the other. The words kept are bounded; when full they are dropped.
+    The vocabulary drops white space and splits letters from other characters, so a text's
+    ids are those of its words one after the other, and a word's are those of its letters
+    and of the punctuation behind them. Small letters go to the tokenizer's model at once;
+    all else goes through the whole tokenizer. The pieces remembered by a
+    worker process are bounded; when full they are dropped.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.starts, self.lengths, self.ids = (np.empty(0, np.int64) for _ in range(3))
-
-    def lookup(self, found: list[str]) -> np.ndarray:
-        """Slot of every distinct word."""
-        if len(self.slots) + len(found) > CACHED_WORDS:
-            self.clear()
-        missing = [w for w in found if w not in self.slots]
+        self.slots: dict[str, int] = {"": 0}
+        self.starts, self.lengths, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def piece(self, piece: str) -> list[int]:
+        if piece[0] == WHOLE:
+            return self.tokenizer.encode(piece[1:], add_special_tokens=False).ids
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_letters)
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def remember(self, pieces: list[str]) -> np.ndarray:
+        """Slots of distinct pieces."""
+        missing = [p for p in pieces if p not in self.slots]
         if missing:
-            new = []
-            for lo in range(0, len(missing), 20_000):
-                new += [e.ids for e in self.tokenizer.encode_batch(missing[lo : lo + 20_000], add_special_tokens=False)]
+            new = list(map(self.piece, missing))
             n = len(self.slots)
             self.slots.update(zip(missing, range(n, n + len(missing))))
             lengths = np.fromiter(map(len, new), np.int64, len(new))
-            flat = np.fromiter((i for x in new for i in x), np.int64, int(lengths.sum()))
+            flat = np.fromiter(chain.from_iterable(new), np.int32, int(lengths.sum()))
             self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
             self.lengths = np.append(self.lengths, lengths)
             self.ids = np.append(self.ids, flat)
-        return np.fromiter(map(self.slots.__getitem__, found), np.int64, len(found))
+        return np.fromiter(map(self.slots.__getitem__, pieces), np.int64, len(pieces))
+
+    def split(self, found: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Letters and punctuation behind them of each word; a word of another form is a whole."""
+        low = pc.utf8_lower(found)
+        head = pc.utf8_rtrim(low, characters=PUNCTUATION)
+        plain = pc.utf8_is_alpha(head).to_numpy(zero_copy_only=False).copy()
+        other = np.flatnonzero(plain & ~pc.string_is_ascii(found).to_numpy(zero_copy_only=False))
+        if len(other):
+            # Marks may have to be composed first; sigma and some others have no single small form.
+            at = pa.array(other)
+            plain[other] = [
+                is_normalized("NFC", w) and w.lower() == l and "\u03a3" not in w
+                for w, l in zip(found.take(at).to_pylist(), low.take(at).to_pylist())
+            ]
+        marks = np.zeros(len(found), object)
+        marks[:] = ""
+        ended = np.flatnonzero(plain & (pc.binary_length(low).to_numpy() > pc.binary_length(head).to_numpy()))
+        if len(ended):
+            at = pa.array(ended)
+            marks[ended] = [WHOLE + w[len(h) :] for w, h in zip(low.take(at).to_pylist(), head.take(at).to_pylist())]
+        whole = pc.binary_join_element_wise(WHOLE, found, "")
+        return pc.if_else(pa.array(plain), head, whole), pa.array(marks, pa.string())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and how many each text has."""
         lists = pc.ascii_split_whitespace(texts)
         spread = lists.flatten().dictionary_encode()
-        slots = self.lookup(spread.dictionary.to_pylist())
-        slot = slots[spread.indices.to_numpy(zero_copy_only=False)] if len(spread) else np.empty(0, np.int64)
-        lengths = self.lengths[slot]
-        ids = self.ids[ragged(self.starts[slot], lengths)]
-        sums = np.concatenate(([0], np.cumsum(lengths)))
+        if len(self.slots) > CACHED_PIECES:
+            self.clear()
+        both = np.empty((len(spread.dictionary), 2), np.int64)
+        for k, part in enumerate(self.split(spread.dictionary)):
+            part = part.dictionary_encode()
+            slots = self.remember(part.dictionary.to_pylist())
+            both[:, k] = slots[part.indices.to_numpy(zero_copy_only=False)] if len(part) else 0
+        lengths = self.lengths[both]
+        flat = self.ids[ragged(self.starts[both].ravel(), lengths.ravel())]
+        lengths = lengths.sum(axis=1)
+        starts = np.cumsum(lengths) - lengths
+        word = spread.indices.to_numpy(zero_copy_only=False)
+        sizes = lengths[word]
+        ids = flat[ragged(starts[word], sizes)]
+        sums = np.concatenate(([0], np.cumsum(sizes)))
         bounds = lists.offsets.to_numpy(zero_copy_only=False)
-        bounds = sums[bounds - bounds[0]]
-        return ids, np.diff(bounds)
+        return ids, np.diff(sums[bounds - bounds[0]])
 
 
 def token_pieces(
