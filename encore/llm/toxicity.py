@@ -8,10 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from encore.sources.workspace import cut
+
 SIZES = (3, 4, 5)
 BITS = 20
-FEATURES = 8192
-TRAIN_ROWS = 8000
+FEATURES = 4096
+TRAIN_ROWS = 6000
 THRESHOLD = 0.3
 BLOCK_CHARS = 1 << 20
 
@@ -111,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             names=["bucket", "n0", "n1"],
         )
 
-    spread = train.repartition(8, "_key")
+    spread = cut(train.repartition(8, "_key"))
     sums = spread.mapInArrow(count, "bucket int, n0 bigint, n1 bigint").groupBy("bucket").agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1")
     ).where("n0 + n1 >= 3").toArrow()
@@ -150,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Model(table, weights * ratio, bias)
 
 
-def _regress(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float = 3e-4, steps: int = 300) -> tuple[np.ndarray, float]:
+def _regress(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float = 3e-4, steps: int = 200) -> tuple[np.ndarray, float]:
     """Logistic regression by full-batch steps with moving averages of gradient and square."""
     w, b = np.zeros(len(scale)), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
