@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from encore.llm.blocks import byte_view, distinct_in_rows, mix, text_blocks, words
+from encore.llm.blocks import BLOCK_BYTES, byte_view, distinct_in_rows, mix, text_blocks, words
 from encore.sources.workspace import cut
 
 SUBSETS = 64
@@ -178,15 +178,19 @@ def compare_with_next(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", te
 
     def pair(batches):
         lexicon = sent.value[0]
-        last = None
+        last, got, size = None, [], 0
         for batch in batches:
-            got = []
-            for row in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4, 6))):
-                if last is not None and last[4] and last[3] == row[3]:
-                    got.append((last, row))
-                last = row
-            if got:
-                yield compare(lexicon, got)
+            for part, _, _ in text_blocks([batch], "_text"):
+                for row in zip(*(part.column(k).to_pylist() for k in (1, 2, 3, 4, 6))):
+                    if last is not None and last[4] and last[3] == row[3]:
+                        got.append((last, row))
+                        size += len(last[1])
+                        if size > BLOCK_BYTES:
+                            yield compare(lexicon, got)
+                            got, size = [], 0
+                    last = row
+        if got:
+            yield compare(lexicon, got)
 
     def compare(lexicon, got):
         edited, chars = [], []

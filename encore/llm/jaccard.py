@@ -376,4 +376,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     found = jaccard_components(docs, key, text)
     kept = found.where(F.col(key).isNull() | (F.col(key) == F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.alias("d").join(kept.alias("k"), F.col(f"d.{key}").eqNullSafe(F.col("k._kept")), "left_semi")

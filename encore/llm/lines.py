@@ -134,8 +134,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", remove
     """
     kept = [c for c in docs.columns if c != removed]
     spans = repeated_spans(docs, key, text)
-    rows = docs.select(*kept).withColumn("_t", F.xxhash64(text))
-    joined = rows.join(spans, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_tie")), "left").select(*kept, "_spans")
+    rows = docs.select(F.struct(*kept).alias("_row"), F.col(key).alias("_k"), F.xxhash64(text).alias("_t"))
+    joined = rows.join(spans, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_tie")), "left").select("_row.*", "_spans")
     at = kept.index(text)
 
     def rebuild(batches):

@@ -102,38 +102,39 @@ def mix(
     task. Only sums per source come to the driver and are sent out.
     """
     new = ("size", "source_size", "target", "copies")
-    rows = docs.select(*[c for c in docs.columns if c not in new])
-    rows = rows.withColumns({"size": word_count(text), "_tie": F.xxhash64(F.col(text))})
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64(key, "_tie"), F.lit(BLOCKS)))
-    counts = rows.groupBy(source, "size", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    per_source = counts.groupBy(source).agg(F.sum(F.col("size") * F.col("_n")).alias("_words"))
-    wanted = F.broadcast(targets(per_source, source, "_words", weights))
+    rows = docs.select(
+        F.struct(*[c for c in docs.columns if c not in new]).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"),
+        word_count(text).alias("size"), F.xxhash64(F.col(text)).alias("tie"),
+    ).withColumn("_block", F.pmod(F.xxhash64("key", "tie"), F.lit(BLOCKS)))
+    counts = rows.groupBy("source", "size", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    per_source = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("_words"))
+    wanted = F.broadcast(targets(per_source, "source", "_words", weights))
 
     def before(part: list[str], order: str) -> Column:
         frame = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum("_n").over(frame), F.lit(0))
 
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sizes = counts.where("size > 0").groupBy(source, "size").agg(F.sum("_n").alias("_n"))
-    sizes = sizes.join(wanted, F.col(source).eqNullSafe(F.col("_source"))).select(
+    sizes = counts.where("size > 0").groupBy("source", "size").agg(F.sum("_n").alias("_n"))
+    sizes = sizes.join(wanted, F.col("source").eqNullSafe(F.col("_source"))).select(
         "_source", "size", "_n", "_source_size", "_target", offset.alias("_offset")
     )
     kind = docs.schema[source].dataType.simpleString()
     rated = sizes.groupBy("_source").applyInPandas(
         lambda g: rates(g), f"_s {kind}, _z bigint, _rate double, _from double"
     )
-    blocks = counts.where("size > 0").withColumn("_earlier", before([source, "size"], "_block")).drop("_n")
-    base = blocks.join(rated, F.col(source).eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).select(
+    blocks = counts.where("size > 0").withColumn("_earlier", before(["source", "size"], "_block")).drop("_n")
+    base = blocks.join(rated, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).select(
         "_s", "_z", F.col("_block").alias("_b"), "_earlier", "_rate", "_from"
     )
-    inside = Window.partitionBy(source, "size", "_block").orderBy(key, "_tie")
+    inside = Window.partitionBy("source", "size", "_block").orderBy("key", "tie")
     placed = rows.withColumn("_in", F.row_number().over(inside)).join(
-        base, F.col(source).eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_block") == F.col("_b")), "left"
-    ).join(wanted, F.col(source).eqNullSafe(F.col("_source")))
+        base, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_block") == F.col("_b")), "left"
+    ).join(wanted, F.col("source").eqNullSafe(F.col("_source")))
     end = F.col("_earlier") + F.col("_in")
     copies = F.floor(F.col("_from") + end * F.col("_rate") + offset) - F.floor(F.col("_from") + (end - 1) * F.col("_rate") + offset)
     return placed.select(
-        *[c for c in rows.columns if c not in ("size", "_tie", "_block")], "size",
+        "row.*", "size",
         F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
         F.coalesce(copies, F.lit(0)).cast("long").alias("copies"),
     )
