@@ -16,16 +16,12 @@ def fitted(s):
     return s.stored("transitions", lambda: transitions.fit_transitions(s.train))
 
 
-def pruned(s):
-    return transitions.prune_transitions(fitted(s))
-
-
 def full_recs(s):
-    return s.stored("full_recs", lambda: transitions.continue_full(s.seeds, pruned(s)))
+    return s.stored("full_recs", lambda: transitions.continue_full(s.seeds, fitted(s)))
 
 
 def semi_recs(s):
-    return s.stored("semi_recs", lambda: transitions.continue_semi(s.seeds, pruned(s)))
+    return s.stored("semi_recs", lambda: transitions.continue_semi(s.seeds, fitted(s)))
 
 
 def both_recs(s):
@@ -71,12 +67,12 @@ _REC_COLUMNS = "pid, rank, track_uri, round(score, 6) AS score"
 
 @query("k3_continue_full", f"SELECT {_REC_COLUMNS} FROM full_recs")
 def _(s):
-    return rounded(transitions.continue_full(s.seeds, pruned(s)), "score")
+    return rounded(transitions.continue_full(s.seeds, fitted(s)), "score")
 
 
 @query("k4_continue_semi", f"SELECT {_REC_COLUMNS} FROM semi_recs")
 def _(s):
-    return rounded(transitions.continue_semi(s.seeds, pruned(s)), "score")
+    return rounded(transitions.continue_semi(s.seeds, fitted(s)), "score")
 
 
 @query(

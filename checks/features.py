@@ -298,11 +298,10 @@ def _(s):
 
 @query(
     "d12_category_count",
-    """SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS "F", count(*) FILTER (WHERE o_orderstatus = 'O') AS "O",
-       count(*) FILTER (WHERE o_orderstatus = 'P') AS "P" FROM orders""",
+    "SELECT o_orderstatus, count(*) AS count FROM orders GROUP BY o_orderstatus",
 )
 def _(s):
-    return s.table("orders").groupBy().pivot("o_orderstatus", ["F", "O", "P"]).count()
+    return s.table("orders").groupBy("o_orderstatus").count()
 
 
 @query(

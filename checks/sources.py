@@ -29,6 +29,16 @@ def _(s):
     return recfiles.read_recs(s.spark, path)
 
 
+@query("a7_resumed_file", "SELECT pid, rank, track_uri FROM full_recs")
+def _(s):
+    path, header = f"{s.path}/recs_resumed", ("main", "team", "mail@example.com")
+    recs = full_recs(s)
+    recfiles.write_recs(recs.where("pid % 2 = 0"), path, header, append=False)
+    left = recfiles.pending(recs.select("pid").distinct(), recfiles.read_recs(s.spark, path))
+    recfiles.write_recs(lookups.keep_rows(recs, left, "pid"), path, header, append=True)
+    return recfiles.read_recs(s.spark, path)
+
+
 @query("a7_pending_from_file", "SELECT pid FROM test_lists WHERE pid NOT IN (SELECT pid FROM full_recs)")
 def _(s):
     path = f"{s.path}/rec_file_done"

@@ -90,7 +90,7 @@ def _(s):
 @query(
     "e7_ordered_distinct",
     """SELECT pid, artist_uri, row_number() OVER (PARTITION BY pid ORDER BY p) AS pos FROM (
-       SELECT pid, artist_uri, min(pos) AS p FROM e_tracks WHERE pos <= 500 GROUP BY ALL)""",
+       SELECT pid, artist_uri, min(pos) AS p FROM e_tracks GROUP BY ALL)""",
 )
 def _(s):
     return ranking.ordered_distinct(s.tracks.select("pid", "artist_uri", "pos"), "pid", "artist_uri", "pos")

@@ -161,9 +161,6 @@ TABLES: dict[str, str] = {
     "dense": "SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY pos) - 1 AS pos, item_id FROM encoded",
     "corpus": "SELECT pid, pos, item_id, row_number() OVER (ORDER BY pid, pos) - 1 AS i FROM dense",
     "transitions": transitions_sql("train_tracks"),
-    "pruned": """
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY n DESC, next) AS rank
-        FROM transitions) WHERE rank <= 700""",
     "best_next": """
         SELECT prev, next, p, total FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY n DESC, next) AS r
         FROM transitions) WHERE r = 1""",
@@ -175,7 +172,7 @@ TABLES: dict[str, str] = {
         SELECT pid, rank, track_uri, score FROM (
           SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, track_uri) AS rank FROM (
             SELECT pid, next AS track_uri, round(sum(weight * p), 9) AS score
-            FROM known_seeds JOIN pruned USING (prev) GROUP BY ALL) c
+            FROM known_seeds JOIN transitions USING (prev) GROUP BY ALL) c
           WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.pid = c.pid AND s.track_uri = c.track_uri))
         WHERE rank <= 500""",
     "semi_recs": """
@@ -184,7 +181,7 @@ TABLES: dict[str, str] = {
             SELECT pid, next AS track_uri, round(sum(weight * p * 0.5), 9) AS score
             FROM (SELECT pid, prev, weight FROM known_seeds UNION ALL
               SELECT pid, b.next, sum(weight) FROM known_seeds JOIN best_next b USING (prev) GROUP BY ALL)
-            JOIN pruned USING (prev) GROUP BY ALL) c
+            JOIN transitions USING (prev) GROUP BY ALL) c
           WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.pid = c.pid AND s.track_uri = c.track_uri))
         WHERE rank <= 500""",
     "train_keys": """

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Playlists per slice file and the largest playlist id.
+# Fixed value: playlists per slice file.
 SLICE = 1000
-MAX_PID = 999_999
 
 
 def explode_tracks(playlists: DataFrame, column: str = "tracks") -> DataFrame:
@@ -21,13 +20,13 @@ def with_slice(df: DataFrame) -> DataFrame:
     )
 
 
-def lookup_playlists(tracks: DataFrame, pids: list[int], max_pid: int = MAX_PID) -> DataFrame:
-    """Entries of single playlists; ids outside the range find nothing.
+def lookup_playlists(tracks: DataFrame, pids: list[int]) -> DataFrame:
+    """Entries of single playlists; negative ids find nothing.
 
     The table is stored in playlist order, so the filter skips all other files
     and row groups by their statistics.
     """
-    valid = [p for p in pids if 0 <= p <= max_pid]
+    valid = [p for p in pids if p >= 0]
     return with_slice(tracks.where(F.col("pid").isin(valid)))
 
 

@@ -103,9 +103,10 @@ def accumulate_until(df: DataFrame, key: str, step: str, item: str, n: int) -> D
     )
 
 
-def ordered_distinct(df: DataFrame, key: str, item: str, rank: str = "rank", limit: int = 500) -> DataFrame:
-    """Cut to ``limit``, keep the first place of each item and rank anew."""
-    first = df.where(F.col(rank) <= limit).groupBy(key, item).agg(F.min(rank).alias("_first"))
+def ordered_distinct(df: DataFrame, key: str, item: str, rank: str = "rank", limit: int | None = None) -> DataFrame:
+    """Keep the first place of each item and rank anew; ``limit`` cuts the list before, if given."""
+    some = df if limit is None else df.where(F.col(rank) <= limit)
+    first = some.groupBy(key, item).agg(F.min(rank).alias("_first"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("_first"))
     return first.withColumn(rank, place).drop("_first")
 

@@ -23,8 +23,8 @@ def fit_transitions(tracks: DataFrame, max_gap: int = 1) -> DataFrame:
     )
 
 
-def prune_transitions(transitions: DataFrame, top: int = 700) -> DataFrame:
-    """Only the best candidates of each step are scored."""
+def prune_transitions(transitions: DataFrame, top: int) -> DataFrame:
+    """Only the ``top`` best candidates of each step."""
     return top_k_per(transitions, ["prev"], [F.desc("n"), "next"], top)
 
 

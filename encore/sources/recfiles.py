@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from encore.sources.workspace import is_complete
+
 HEADER = "team_info"
 
 
-def write_recs(recs: DataFrame, path: str, header: tuple[str, str, str], n: int = 500) -> None:
+def write_recs(recs: DataFrame, path: str, header: tuple[str, str, str], n: int = 500, append: bool = False) -> None:
     """Write ``pid, uri, uri...`` lines, each followed by a blank one.
 
     The header (track, team, contact) is a file of its own in the folder; a list
-    has at most ``n`` items.
+    has at most ``n`` items. With ``append`` the lists join those of a finished write, whose
+    header stays the only one; else an older folder is replaced.
     """
     spark = recs.sparkSession
     first = spark.createDataFrame([(",".join([HEADER, *header]),)], "value string")
@@ -22,7 +25,8 @@ def write_recs(recs: DataFrame, path: str, header: tuple[str, str, str], n: int
         .agg(F.transform(cells, lambda c: c["track_uri"]).alias("items"))
         .select(F.concat(F.concat_ws(", ", F.col("pid").cast("string"), "items"), F.lit("\n")).alias("value"))
     )
-    first.coalesce(1).write.mode("overwrite").text(path)
+    if not append or not is_complete(spark, path):
+        first.coalesce(1).write.mode("overwrite").text(path)
     lines.write.mode("append").text(path)
 
 

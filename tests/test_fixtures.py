@@ -309,8 +309,8 @@ def test_slice_files(spark, tmp_path):
 
 
 def test_slice_lookup(spark):
-    row = lookups.lookup_playlists(entries(spark, {12009: ["a"]}), [12009, 1_000_000]).collect()
-    assert [(r["slice"], r["idx"]) for r in row] == [(12000, 9)]
+    row = lookups.lookup_playlists(entries(spark, {12009: ["a"], 1_000_001: ["b"]}), [12009, 1_000_001, 7, -1]).collect()
+    assert sorted((r["slice"], r["idx"]) for r in row) == [(12000, 9), (1_000_000, 1)]
 
 
 def test_rec_file_keeps_the_last_line(spark, tmp_path):
