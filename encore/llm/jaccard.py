@@ -283,7 +283,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     kind = to_arrow_type(rows.schema["_key"].dataType)
     name = rows.schema["_key"].dataType.simpleString()
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(60_000, 4 * shards)
+    buckets = min(60_000, shards)
     schema = f"bucket int, _key {name}, n bigint, entity bigint, ids binary, sizes binary, counts binary, values binary, classes binary"
 
     def dealt(df: DataFrame) -> DataFrame:
