@@ -44,26 +44,25 @@ def _(s):
     return found.select("query", F.col("distance").cast("long").alias("distance"))
 
 
-@query("c4_nearest_by_edit_distance", "SELECT pid, rank, candidate, CAST(distance AS BIGINT) AS distance FROM near_titles WHERE k > 0")
+@query("c4_nearest_by_edit_distance", "SELECT pid, rank, candidate, CAST(distance AS BIGINT) AS distance FROM near_titles")
 def _(s):
-    rows = title_match.nearest_titles(s.test_lists.where("k > 0"), s.train_lists)
+    rows = title_match.nearest_titles(s.test_lists, s.train_lists)
     return rows.withColumn("distance", F.col("distance").cast("long"))
 
 
-@query("h3_nearest_titles", "SELECT pid, rank, candidate, CAST(distance AS BIGINT) AS distance FROM near_titles WHERE k = 0 AND rank <= 10")
+@query("h3_nearest_titles", "SELECT pid, rank, candidate, CAST(distance AS BIGINT) AS distance FROM near_titles WHERE rank <= 10")
 def _(s):
-    rows = title_match.nearest_titles(s.test_lists.where("k = 0"), s.train_lists, 10)
+    rows = title_match.nearest_titles(s.test_lists, s.train_lists, 10)
     return rows.withColumn("distance", F.col("distance").cast("long"))
 
 
 @query(
     "c6_candidate_tracks",
     """SELECT n.pid, n.rank, e.track_uri, count(*) AS n, min(pos) AS pos FROM near_titles n
-       JOIN train_tracks e ON e.pid = n.candidate WHERE n.rank <= 20 GROUP BY ALL""",
+       JOIN train_tracks e ON e.pid = n.candidate GROUP BY ALL""",
 )
 def _(s):
-    voters = near(s).where("rank <= 20")
-    return title_match.candidate_mentions(voters, s.train, "distance").drop("distance")
+    return title_match.candidate_mentions(near(s), s.train, "distance").drop("distance")
 
 
 def _vote_sql(k, where="true"):
@@ -86,10 +85,9 @@ def _vote_sql(k, where="true"):
     WHERE rank <= {k}"""
 
 
-@query("h4_vote_by_title", _vote_sql(SEED_K, "k > 0"))
+@query("h4_vote_by_title", _vote_sql(SEED_K))
 def _(s):
-    warm = s.test_lists.where("k > 0").select("pid")
-    return title_match.vote_by_title(near(s).join(warm, "pid", "left_semi"), s.train, SEED_K)
+    return title_match.vote_by_title(near(s), s.train, SEED_K)
 
 
 @query("h5_title_seeds", _vote_sql(SEED_K, "k = 0"))
@@ -116,11 +114,11 @@ def _(s):
     "i2_squeeze_spaced",
     """SELECT pid, CASE WHEN length(replace(t, ' ', '')) - 1 <= length(t) - length(replace(t, ' ', ''))
        THEN replace(t, ' ', '') ELSE t END AS t FROM (
-       SELECT pid, trim(regexp_replace(substr(name, 1, 5), '(.)', '\\1 ', 'g')) AS t FROM names
+       SELECT pid, trim(regexp_replace(name, '(.)', '\\1 ', 'g')) AS t FROM names
        UNION ALL SELECT pid + 1000000, name FROM names)""",
 )
 def _(s):
-    spaced = F.trim(F.regexp_replace(F.substring("name", 1, 5), "(.)", "$1 "))
+    spaced = F.trim(F.regexp_replace("name", "(.)", "$1 "))
     rows = s.names.select("pid", spaced.alias("t")).unionByName(
         s.names.select((F.col("pid") + 1000000).alias("pid"), F.col("name").alias("t"))
     )
@@ -174,9 +172,9 @@ def _(s):
 _SIMILAR = "SELECT pid, rank, candidate, similarity FROM similar_lists"
 
 
-@query("i8_similar_playlists", f"{_SIMILAR} WHERE k > 0")
+@query("i8_similar_playlists", _SIMILAR)
 def _(s):
-    return title_vectors.similar_playlists(s.test_lists.where("k > 0"), s.train_lists, name_vectors(s))
+    return title_vectors.similar_playlists(s.test_lists, s.train_lists, name_vectors(s))
 
 
 @query("i9_batch_similar", f"{_SIMILAR} WHERE k = 0")

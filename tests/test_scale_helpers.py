@@ -198,7 +198,7 @@ def test_largest_inner_products_equal_the_model(spark):
     none = pairs.limit(0)
     ratings = factorisation.interactions(pairs, none).cache()
     model = factorisation.fit_wmf(ratings, rank=4, iterations=2)
-    mine = factorisation.wmf_recommend(model, ratings, ratings, n=5, max_seeds=40)
+    mine = factorisation.wmf_recommend(model, ratings, ratings, n=5)
     known = {(r["user"], r["item"]) for r in ratings.collect()}
     want = {
         r["user"]: [x["item"] for x in r["recommendations"] if (r["user"], x["item"]) not in known][:5]
@@ -210,6 +210,18 @@ def test_largest_inner_products_equal_the_model(spark):
     assert got == want
 
 
+def test_recommendations_are_whole_for_a_user_with_many_known_items(spark):
+    from encore.operators import factorisation
+
+    rows = [(0, f"t{i}") for i in range(150)] + [(1, f"t{i}") for i in range(100, 200)]
+    pairs = spark.createDataFrame(rows, "pid long, track_uri string")
+    ratings = factorisation.interactions(pairs, pairs.limit(0)).cache()
+    model = factorisation.fit_wmf(ratings, rank=2, iterations=1)
+    found = factorisation.wmf_recommend(model, ratings, ratings, n=50)
+    assert {r["user"]: r["count"] for r in found.groupBy("user").count().collect()} == {0: 50, 1: 50}
+    assert found.join(ratings, ["user", "item"]).isEmpty()
+
+
 def test_no_cross_joins_and_no_single_task_over_rows(tables):
     """Neighbour searches must not be planned as cross joins."""
     from checks import load
