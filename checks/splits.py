@@ -235,15 +235,16 @@ def _(s):
 
 @query(
     "f9_stratified_split",
-    f"""SELECT pid, CASE WHEN row_number() OVER (PARTITION BY num_tracks_class ORDER BY md5('{SPLIT_SEED}:' || pid), pid)
-          <= floor(count(*) OVER (PARTITION BY num_tracks_class) * 0.1 + 0.5) THEN 'test' ELSE 'train' END AS part
-        FROM strata""",
+    f"""SELECT pid, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY md5('{SPLIT_SEED}:' || pid), pid)
+          <= floor(count(*) OVER (PARTITION BY stratum) * 0.1 + 0.5) THEN 'test' ELSE 'train' END AS part
+        FROM (SELECT pid, CASE WHEN count(*) OVER (PARTITION BY num_tracks_class) >= 5 THEN num_tracks_class END AS stratum
+          FROM strata)""",
 )
 def _(s):
     return split.stratified_split(s.strata, ["num_tracks_class"], TEST_SHARE, SPLIT_SEED)
 
 
-@query("f9_unstratified_split", "SELECT pid, part FROM first_split")
+@query("f9_small_strata_split", "SELECT pid, part FROM first_split")
 def _(s):
     return split.stratified_split(s.strata, CLASSES, TEST_SHARE, SPLIT_SEED)
 

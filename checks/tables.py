@@ -94,12 +94,8 @@ TABLES: dict[str, str] = {
         SELECT * REPLACE (track_uri || ':' || CAST(album_uri AS BIGINT) % 5 AS track_uri) FROM e_tracks""",
     "pop": "SELECT track_uri, count(*) AS popularity FROM e_tracks GROUP BY track_uri",
     "apop": "SELECT artist_uri, count(*) AS popularity FROM e_tracks GROUP BY artist_uri",
-    "titles": """
-        SELECT doc_id, array_to_string(list_slice(string_split(
-          trim(regexp_replace(lower(text), '[^a-z ]', '', 'g')), ' '), 1, 3), ' ') AS name FROM documents""",
     "names": """
-        SELECT c_custkey AS pid, name FROM customer
-        JOIN titles ON doc_id = c_custkey % (SELECT count(*) FROM documents)""",
+        SELECT pid, lower(replace(concat_ws(' ', track_name, artist_uri), '#', ' ')) AS name FROM e_tracks WHERE pos = 0""",
     "track_feats": popularity_sql("track_uri", "pop", "track"),
     "artist_feats": popularity_sql("artist_uri", "apop", "artist"),
     "plist": """
@@ -117,8 +113,8 @@ TABLES: dict[str, str] = {
     "first_split": f"""
         SELECT pid, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY md5('{SPLIT_SEED}:' || pid), pid)
           <= floor(count(*) OVER (PARTITION BY stratum) * 0.1 + 0.5) THEN 'test' ELSE 'train' END AS part
-        FROM (SELECT pid, CASE WHEN (SELECT min(n) FROM (SELECT count(*) AS n FROM strata GROUP BY {_CLASSES})) >= 2
-          THEN concat_ws('-', {_CLASSES}) ELSE 'all' END AS stratum FROM strata)""",
+        FROM (SELECT pid, CASE WHEN count(*) OVER (PARTITION BY {_CLASSES}) >= 5
+          THEN concat_ws('-', {_CLASSES}) ELSE 'rest' END AS stratum FROM strata)""",
     "drawn": f"""
         SELECT pid, CASE WHEN row_number() OVER (ORDER BY md5('{EVAL_SEED}:' || pid), pid)
           <= floor(count(*) OVER () / 2) THEN 'dev' ELSE 'test' END AS part
@@ -194,12 +190,11 @@ TABLES: dict[str, str] = {
           len(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda x: x <> '')) > 0 THEN
           array_to_string(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda x: x <> ''), '_')
           ELSE name END AS key FROM test_lists""",
-    "near_titles": f"""
-        SELECT pid, k, rank, candidate, distance FROM (
-          SELECT q.pid, q.k, t.pid AS candidate, levenshtein(q.key, t.key) AS distance,
-            row_number() OVER (PARTITION BY q.pid ORDER BY levenshtein(q.key, t.key), t.tie) AS rank
-          FROM test_keys q, train_keys t)
-        WHERE rank <= {TIES + 1}""",
+    "all_titles": """
+        SELECT q.pid, q.k, t.pid AS candidate, levenshtein(q.key, t.key) AS distance,
+          row_number() OVER (PARTITION BY q.pid ORDER BY levenshtein(q.key, t.key), t.tie) AS rank
+        FROM test_keys q, train_keys t""",
+    "near_titles": f"SELECT pid, k, rank, candidate, distance FROM all_titles WHERE rank <= {TIES + 1}",
     "title_tokens": f"""
         SELECT name, unnest(list_concat(
           flatten(list_transform(toks, lambda t: CASE {' '.join(f"WHEN t = {quoted(k)} THEN {w!r}" for k, w in SLANG)} ELSE [] END)),
@@ -211,7 +206,7 @@ TABLES: dict[str, str] = {
             FROM (SELECT DISTINCT name, {_replaced(_replaced('trim(lower(name))', SLANG), EMOJI_TERMS, ' ')} AS t FROM names)))""",
     "word_vectors": """
         SELECT token, CAST(embedding AS DOUBLE[]) AS vec FROM (
-          SELECT DISTINCT unnest(string_split(name, ' ')) AS token FROM titles) w
+          SELECT DISTINCT unnest(string_split(name, ' ')) AS token FROM names) w
         JOIN embeddings ON vec_id = CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings)
         WHERE token <> ''""",
     "title_vectors": """

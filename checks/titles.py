@@ -71,23 +71,23 @@ def _vote_sql(k, where="true"):
     SELECT pid, rank, track_uri, CAST(score AS DOUBLE) AS score FROM (
       SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, r, p, track_uri) AS rank FROM (
         SELECT pid, track_uri, count(*) AS score, min(rank) AS r, arg_min(pos, rank * 1000000 + pos) AS p
-        FROM (SELECT n.pid, n.rank, e.track_uri, e.pos FROM near_titles n JOIN train_tracks e ON e.pid = n.candidate
-          WHERE n.rank <= 100 AND {where}) m
-        LEFT JOIN (SELECT pid, min(distance) = max(distance) FILTER (WHERE rank = 101) AS tied FROM near_titles GROUP BY pid) t USING (pid)
+        FROM (SELECT n.pid, n.rank, e.track_uri, e.pos FROM all_titles n JOIN train_tracks e ON e.pid = n.candidate WHERE {where}) m
+        LEFT JOIN (SELECT pid, coalesce(min(distance) = max(distance) FILTER (WHERE rank = 101), false) AS tied
+          FROM near_titles GROUP BY pid) t USING (pid)
         LEFT JOIN (SELECT pid, min(rank) AS last FROM (
             SELECT pid, rank, sum(news) OVER (PARTITION BY pid ORDER BY rank) AS have FROM (
               SELECT pid, rank, count(*) AS news FROM (
-                SELECT n.pid, e.track_uri, min(n.rank) AS rank FROM near_titles n JOIN train_tracks e ON e.pid = n.candidate
-                WHERE n.rank <= 100 GROUP BY ALL) GROUP BY ALL))
+                SELECT n.pid, e.track_uri, min(n.rank) AS rank FROM all_titles n JOIN train_tracks e ON e.pid = n.candidate
+                GROUP BY ALL) GROUP BY ALL))
           WHERE have >= {k} GROUP BY pid) l USING (pid)
-        WHERE coalesce(tied, false) OR last IS NULL OR rank <= last
+        WHERE CASE WHEN tied THEN rank <= 100 ELSE last IS NULL OR rank <= last END
         GROUP BY pid, track_uri))
     WHERE rank <= {k}"""
 
 
 @query("h4_vote_by_title", _vote_sql(SEED_K))
 def _(s):
-    return title_match.vote_by_title(near(s), s.train, SEED_K)
+    return title_match.title_recommend(s.test_lists, s.train_lists, s.train, SEED_K)
 
 
 @query("h5_title_seeds", _vote_sql(SEED_K, "k = 0"))
@@ -232,7 +232,7 @@ def _(s):
 def _(s):
     cold = s.test_lists.where("k = 0").select("pid")
     by_vector = title_vectors.vote_by_similarity(similar(s).join(cold, "pid", "left_semi"), s.train, SEED_K)
-    by_title = title_match.vote_by_title(near(s).join(cold, "pid", "left_semi"), s.train, SEED_K)
+    by_title = title_match.title_seeds(s.test_lists, s.train_lists, s.train, SEED_K)
     return title_vectors.fill_seeds(s.test_lists, by_vector, by_title)
 
 

@@ -24,15 +24,17 @@ def _drawn(df: DataFrame, seed: int | str, out: str, keys: list[str] | None = No
 def stratified_split(features: DataFrame, strata: list[str], share: float, seed: int) -> DataFrame:
     """(pid, part): the given share of each stratum is ``test``, the rest ``train``.
 
-    A stratum of one row cannot be split; if there is one, the share is drawn
-    from all rows.
+    A stratum that is too small to give a test row, or has one row only, is drawn
+    together with all others of that kind. A null is a stratum value like any other.
     """
-    sizes = cut(features.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")))
     take = F.floor(F.col("_n") * share + 0.5)
-    if sizes.where("_n < 2").isEmpty():
-        ranked = _drawn(features.select("pid", *strata), seed, "_rank", strata).join(sizes, strata)
-    else:
-        ranked = _drawn(features.select("pid"), seed, "_rank").withColumn("_n", sizes.agg(F.sum("_n")).scalar())
+    named = features.select("pid", F.to_json(F.struct(*strata)).alias("_stratum"))
+    sizes = named.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_n"))
+    drawn_as = F.when((F.col("_n") > 1) & (take >= 1), F.col("_stratum")).otherwise("rest")
+    sizes = cut(sizes.withColumn("_draw", drawn_as))
+    rows = salted_join(named, sizes, "_stratum", "_n").select("pid", "_draw")
+    totals = sizes.groupBy("_draw").agg(F.sum("_n").alias("_n"))
+    ranked = salted_join(_drawn(rows, seed, "_rank", ["_draw"]), totals, "_draw", "_n")
     return ranked.select("pid", F.when(F.col("_rank") <= take, "test").otherwise("train").alias("part"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from encore.functions.titles import title_key
@@ -79,17 +81,47 @@ def candidate_mentions(candidates: DataFrame, tracks: DataFrame, value: str) ->
     return salted_join(mentions, wanted, "candidate").select("pid", "rank", value, "track_uri", "n", "pos")
 
 
+def _tied(near: DataFrame) -> DataFrame:
+    """(pid, _tied, _found): whether more than 100 playlists tie at the smallest distance."""
+    return near.groupBy("pid").agg(
+        F.min("distance").alias("_low"),
+        F.max(F.when(F.col("rank") == TIES + 1, F.col("distance"))).alias("_next"),
+        F.max("rank").alias("_found"),
+    ).select("pid", F.coalesce(F.col("_next") == F.col("_low"), F.lit(False)).alias("_tied"), "_found")
+
+
+def voting_titles(
+    lists: DataFrame, train: DataFrame, tracks: DataFrame, seed_k: int = 100, m: int = TIES + 1
+) -> DataFrame:
+    """(pid, rank, candidate, distance): as many nearest playlists as the vote needs.
+
+    Lists whose first ``m`` candidates hold fewer than ``seed_k`` distinct tracks are
+    searched again with four times as many, until they hold enough or no train
+    playlist is left. The number of searches grows with the logarithm of the table.
+    """
+    parts, asked, m = [], lists, max(m, TIES + 1)
+    while True:
+        near = cut(nearest_titles(asked, train, m))
+        open_lists = _tied(near).where((F.col("_found") == m) & ~F.col("_tied")).select("pid")
+        held = (
+            candidate_mentions(near.join(open_lists, "pid", "left_semi"), tracks, "distance")
+            .select("pid", "track_uri").distinct().groupBy("pid").agg(F.count(F.lit(1)).alias("_held"))
+        )
+        short = cut(open_lists.join(held.where(F.col("_held") >= seed_k), "pid", "left_anti"))
+        parts.append(near.join(short, "pid", "left_anti"))
+        if short.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        asked, m = asked.join(short, "pid", "left_semi"), 4 * m
+
+
 def vote_by_title(near: DataFrame, tracks: DataFrame, seed_k: int = 100) -> DataFrame:
     """(pid, rank, track_uri, score): tracks by mentions in the nearest playlists.
 
     With more than 100 playlists tied at the smallest distance, 100 of them vote.
-    Otherwise playlists vote in order until they hold ``seed_k`` distinct tracks.
+    Otherwise the given playlists vote in order until they hold ``seed_k`` distinct tracks.
     """
-    spread = near.groupBy("pid").agg(
-        F.min("distance").alias("_low"),
-        F.max(F.when(F.col("rank") == TIES + 1, F.col("distance"))).alias("_next"),
-    ).select("pid", F.coalesce(F.col("_next") == F.col("_low"), F.lit(False)).alias("_tied"))
-    voters = near.where(F.col("rank") <= TIES)
+    spread = _tied(near).drop("_found")
+    voters = near.join(spread, "pid").where(~F.col("_tied") | (F.col("rank") <= TIES)).drop("_tied")
     mentions = candidate_mentions(voters, tracks, "distance").join(spread, "pid")
     walked = accumulate_until(mentions.where(~F.col("_tied")), "pid", "rank", "track_uri", seed_k)
     used = mentions.where("_tied").unionByName(walked)
@@ -103,9 +135,9 @@ def vote_by_title(near: DataFrame, tracks: DataFrame, seed_k: int = 100) -> Data
 
 def title_seeds(lists: DataFrame, train: DataFrame, tracks: DataFrame, seed_k: int = 100) -> DataFrame:
     """Seeds for lists without any, from similar titles."""
-    return vote_by_title(nearest_titles(lists.where("k = 0"), train), tracks, seed_k)
+    return title_recommend(lists.where("k = 0"), train, tracks, seed_k)
 
 
 def title_recommend(lists: DataFrame, train: DataFrame, tracks: DataFrame, n: int = 500) -> DataFrame:
     """The same vote as a recommender for every bucket."""
-    return vote_by_title(nearest_titles(lists, train), tracks, n)
+    return vote_by_title(voting_titles(lists, train, tracks, n), tracks, n)

@@ -76,24 +76,14 @@ class Star:
         fifth = (F.col("album_uri").cast("long") % 5).cast("string")
         return self.tracks.withColumn("track_uri", F.concat_ws(":", "track_uri", fifth))
 
-    @cached_property
-    def titles(self) -> DataFrame:
-        """(doc_id, name): the first three words of each document."""
-        letters = F.trim(F.regexp_replace(F.lower("text"), "[^a-z ]", ""))
-        return self.docs.select(
-            "doc_id", F.array_join(F.slice(F.split(letters, " "), 1, 3), " ").alias("name")
-        )
-
     @cached_property
     def names(self) -> DataFrame:
-        """(pid, name): titles dealt out to the customers."""
+        """(pid, name): a playlist is titled with the whole name and artist of its first entry."""
         return self.stored("names", self._names)
 
     def _names(self) -> DataFrame:
-        docs = self.titles
-        n = docs.agg(F.count(F.lit(1))).scalar()
-        pids = self.table("customer").select(F.col("c_custkey").alias("pid"))
-        return pids.withColumn("doc_id", F.col("pid") % n).join(docs, "doc_id").select("pid", "name")
+        title = F.lower(F.translate(F.concat_ws(" ", "track_name", "artist_uri"), "#", " "))
+        return self.tracks.where("pos = 0").select("pid", title.alias("name"))
 
     @cached_property
     def playlists(self) -> DataFrame:
@@ -191,7 +181,7 @@ class Star:
     @cached_property
     def word_vectors(self) -> DataFrame:
         """(token, vec): every title word gets one of the embeddings by its hash."""
-        words = self.titles.select(F.explode(F.split("name", " ")).alias("token")).where("token <> ''").distinct()
+        words = self.names.select(F.explode(F.split("name", " ")).alias("token")).where("token <> ''").distinct()
         n = self.table("embeddings").agg(F.count(F.lit(1))).scalar()
         slot = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % n
         vectors = self.table("embeddings").select(

@@ -241,6 +241,17 @@ def test_many_ties_all_vote(spark):
     assert [(r["track_uri"], r["score"]) for r in found] == [("a", 100.0), ("x000", 1.0)]
 
 
+def test_walk_goes_on_behind_a_hundred_lists(spark):
+    train = spark.createDataFrame([(i, "a" * (1 + i // 50)) for i in range(600)], "pid long, name string")
+    lists = spark.createDataFrame([(900, "a", 0), (901, None, 0), (902, "a" * 12, 0)], "pid long, name string, k int")
+    tracks = entries(spark, {i: [f"x{i // 2:03d}"] for i in range(600)})
+    found = title_match.title_recommend(lists, train, tracks, 130)
+    counts = {r["pid"]: r["count"] for r in found.groupBy("pid").count().collect()}
+    assert counts == {900: 130, 902: 130}
+    everything = title_match.title_recommend(lists, train, tracks, 1000).groupBy("pid").count().collect()
+    assert {r["pid"]: r["count"] for r in everything} == {900: 300, 902: 300}
+
+
 def test_distances_belong_to_their_own_title(spark):
     schema = "pid long, name string"
     lists = spark.createDataFrame([(1, "rock"), (2, "jazz")], schema)
@@ -354,3 +365,11 @@ def test_split_is_stratified_where_possible(spark):
     assert {r["c"]: r["count"] for r in found.groupBy("c").count().collect()} == {0: 5, 1: 5, 2: 5, 3: 5}
     single = rows.withColumn("c", F.when(F.col("pid") == 0, 9).otherwise(F.col("c")))
     assert split.stratified_split(single, ["c"], 0.2, 1).where("part = 'test'").count() == 20
+
+
+def test_small_strata_are_drawn_together(spark):
+    n = F.col("id")
+    rows = spark.range(400).select(n.alias("pid"), F.when(n < 100, n).when(n < 300, F.lit(-1)).alias("c"))
+    found = split.stratified_split(rows, ["c"], 0.1, 1).join(rows, "pid").where("part = 'test'")
+    kinds = found.groupBy(F.when(F.col("c") >= 0, "small").when(F.col("c") < 0, "large").otherwise("null").alias("s")).count()
+    assert {r["s"]: r["count"] for r in kinds.collect()} == {"small": 10, "large": 20, "null": 10}
