@@ -143,12 +143,13 @@ def _(s):
 
 @query(
     "i5_title_vector",
-    """SELECT name, d, round(x, 6) AS x FROM (SELECT name, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS d
+    """SELECT name, d, round(x, 6) + 0.0 AS x FROM (SELECT name, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS d
        FROM title_vectors)""",
 )
 def _(s):
     rows = title_vectors.title_vectors(s.names, s.word_vectors, SLANG, EMOJI_TERMS)
-    return rounded(rows.select("name", F.posexplode("vec").alias("d", "x")), "x").withColumn("d", F.col("d").cast("long"))
+    parts = rounded(rows.select("name", F.posexplode("vec").alias("d", "x")), "x")
+    return parts.select("name", F.col("d").cast("long").alias("d"), (F.col("x") + 0.0).alias("x"))  # no negative zero
 
 
 @query("i6_vector_table", "SELECT pid, round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS size "
