@@ -1,16 +1,22 @@
-"""Line dedup: content-defined chunks of lines, removed where they repeat."""
+"""Line dedup: passages, or content-defined chunks of lines, removed where they repeat."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from encore.llm.blocks import _space, mix, prefix_hashes, span_hashes, text_blocks
+from encore.operators.skew import salted_join
 from encore.sources.workspace import cut
 
 DIVISOR = 3
 LONGEST = 32
+# A single line is a passage from so many words or bytes on.
+LONG_WORDS = 50
+LONG_BYTES = 300
 NEWLINE = 10
 
 
@@ -124,6 +130,83 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return again.groupBy("_key", "_tie").agg(F.sort_array(F.collect_set(span)).alias("_spans"))
 
 
+def passages(docs: DataFrame, key: str, tie: str, text: str) -> DataFrame:
+    """(_key, _tie, start, length, digest): every two neighbouring lines, and every long line.
+
+    Lines of white space only are no lines of their own; those between two neighbours
+    belong to the pair. ``digest`` is the SHA-256 of the bytes of the span.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for part, data, offsets in text_blocks(batches, "_text"):
+            starts, ends, rows = line_spans(data, offsets)
+            filled = ~_space[data]
+            begins = filled.copy()
+            begins[1:] &= ~filled[:-1]
+            solid, word = (np.concatenate(([0], np.cumsum(x))) for x in (filled, begins))
+            full = np.flatnonzero(solid[ends] > solid[starts])
+            if not len(full):
+                continue
+            lo, hi, row = starts[full], ends[full], rows[full]
+            # A row may begin within a run of filled bytes: its first word counts too.
+            count = word[hi] - word[lo] + (filled[lo] & ~begins[lo])
+            long = (count >= LONG_WORDS) | (hi - lo >= LONG_BYTES)
+            pair = row[1:] == row[:-1]
+            first = np.concatenate((lo[:-1][pair], lo[long]))
+            last = np.concatenate((hi[1:][pair], hi[long]))
+            row = np.concatenate((row[:-1][pair], row[long]))
+            view = memoryview(np.ascontiguousarray(data))
+            digest = [hashlib.sha256(view[a:b]).digest() for a, b in zip(first.tolist(), last.tolist())]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(take), part.column(1).take(take), pa.array(first - offsets[row]),
+                    pa.array(last - first), pa.array(digest, pa.binary()),
+                ],
+                names=["_key", "_tie", "start", "length", "digest"],
+            )
+
+    plain = docs.select(F.col(key).alias("_key"), F.col(tie).alias("_tie"), F.col(text).alias("_text"))
+    return plain.mapInArrow(run, f"_key {kind}, _tie bigint, start bigint, length bigint, digest binary")
+
+
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_key, _tie, spans): byte spans of the pairs of lines and long lines that another place holds first.
+
+    A passage of two lines or more is made up of its pairs, so all of it is found wherever
+    it stands and whatever stands around it. The order of places and ``_tie`` are those of
+    ``repeated_spans``; spans of a text may overlap. Equal digests stand for equal bytes.
+    """
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
+    found = cut(passages(rows, "_key", "_tie", "_text"))
+    place = F.struct("_key", "_tie", "start")
+    twice = found.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1")
+    again = salted_join(found, twice, "digest", "_n").where(~place.eqNullSafe(F.col("_first")))
+    return again.groupBy("_key", "_tie").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_spans"))
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans (start, length) with overlapping ones made one."""
+    out: list[tuple[int, int]] = []
+    for start, length in spans:
+        if out and start < sum(out[-1]):
+            out[-1] = (out[-1][0], max(sum(out[-1]), start + length) - out[-1][0])
+        else:
+            out.append((start, length))
+    return out
+
+
+def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "removed_lines") -> DataFrame:
+    """All rows with repeated passages taken out of the text, and how many lines went.
+
+    A passage is two lines or more, or one line of 50 words or 300 bytes. Its first place
+    by key, text hash and position stays, so the first place of any line stays too. For
+    the rest see ``dedup_lines``.
+    """
+    return _rebuilt(docs, repeated_passages(docs, key, text), key, text, removed)
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "removed_lines") -> DataFrame:
     """All rows with repeated multi-line chunks taken out of the text, and how many lines went.
 
@@ -132,8 +215,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", remove
     key and text are one document, so they keep the same lines. A column named like
     ``removed`` is replaced; all other columns stay as they are.
     """
+    return _rebuilt(docs, repeated_spans(docs, key, text), key, text, removed)
+
+
+def _rebuilt(docs: DataFrame, spans: DataFrame, key: str, text: str, removed: str) -> DataFrame:
     kept = [c for c in docs.columns if c != removed]
-    spans = repeated_spans(docs, key, text)
     rows = docs.select(F.struct(*kept).alias("_row"), F.col(key).alias("_k"), F.xxhash64(text).alias("_t"))
     joined = rows.join(spans, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_tie")), "left").select("_row.*", "_spans")
     at = kept.index(text)
@@ -146,7 +232,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", remove
             if len(changed):
                 values = old.to_pylist()
                 for i in changed.tolist():
-                    values[i], counts[i] = without(values[i], [(s["start"], s["length"]) for s in spans[i].as_py()])
+                    values[i], counts[i] = without(values[i], merged([(s["start"], s["length"]) for s in spans[i].as_py()]))
                 old = pa.array(values, old.type)
             columns = [*batch.columns[:at], old, *batch.columns[at + 1 : len(kept)], pa.array(counts)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, removed])

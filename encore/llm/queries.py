@@ -135,8 +135,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_line_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document's text without multi-line chunks that an earlier place holds."""
-    done = lines.dedup_lines(read(spark, folder, "documents").select("doc_id", "text"))
+    """Every document's text without passages that an earlier place holds."""
+    done = lines.dedup_passages(read(spark, folder, "documents").select("doc_id", "text"))
     return done.select("doc_id", "removed_lines", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"), "text")
 
 

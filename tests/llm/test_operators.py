@@ -438,6 +438,58 @@ def test_lines_odd_rows(spark):
     assert lines.dedup_lines(odd(spark, True)).count() == 0
 
 
+def passages_brute(rows):
+    """Pairs of neighbouring lines with words and long lines, compared as bytes; the first by key, text hash and place stays."""
+    found = []
+    for i, (k, text, tie) in enumerate(rows):
+        split, at, full = text.encode().split(b"\n"), 0, []
+        for j, line in enumerate(split):
+            if WORD.search(line):
+                full.append((j, at, line))
+                if len(WORD.findall(line)) >= 50 or len(line) >= 300:
+                    found.append((k, tie, at, line, i, j, j))
+            at += len(line) + 1
+        for (a, start, _), (b, _, _) in zip(full, full[1:]):
+            found.append((k, tie, start, b"\n".join(split[a : b + 1]), i, a, b))
+    seen, gone = set(), set()
+    for _, _, _, body, i, a, b in sorted(found):
+        if body in seen:
+            gone.update((i, j) for j in range(a, b + 1))
+        seen.add(body)
+    out = {}
+    for i, (k, text, _) in enumerate(rows):
+        left = [t for j, t in enumerate(text.split("\n")) if (i, j) not in gone]
+        out[k] = ("\n".join(left), sum((i, j) in gone for j in range(text.count("\n") + 1)))
+    return out
+
+
+def test_embedded_passages_go_whole(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(8))
+    line = lambda n: " ".join(word() for _ in range(n))
+    passages = [[line(60)], [line(12) + "ü" * 150], *([line(9) for _ in range(n)] for n in (2, 2, 3, 4, 5, 6, 7, 40))]
+    passages += [[line(9), "", " ", line(9)], [line(9), line(9), "", line(9)]]
+    rows, kept = [], {}
+    for k in range(96):
+        own = [line(rng.randrange(1, 9)) if rng.random() < 0.9 else "" for _ in range(rng.randrange(2, 9))]
+        own[0] = line(3)
+        at = rng.randrange(1, len(own) + 1)
+        passage = passages[k % len(passages)]
+        rows.append((k, "\n".join(own[:at] + passage + own[at:])))
+        if k >= len(passages):
+            kept[k] = ("\n".join(own), len(passage))
+    rows += [(200, ""), (201, "\n\n\n"), (202, "ü\n" * 90), (203, passages[0][0]), (204, rows[3][1])]
+    df = frame(spark, rows)
+    hashes = {r[0]: r[1] for r in df.select("doc_id", F.xxhash64("text")).collect()}
+    got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in lines.dedup_passages(df).collect()}
+    assert got == passages_brute([(k, t, hashes[k]) for k, t in rows])
+    assert {k: got[k] for k in kept} == kept
+    assert got[203] == ("", 1) and got[202] == ("ü\n", 89)
+    done = lines.dedup_passages(odd(spark))
+    assert done.count() == len(odd_rows()) and set(odd(spark).columns) < set(done.columns)
+    assert done.where("text IS NULL").count() == 1 and lines.dedup_passages(odd(spark, True)).count() == 0
+
+
 def test_fingerprints_of_edited_texts(spark):
     rows = [(3 * k, t) for k, t in enumerate(texts_of(120, 21, 80, 300))] + [(1000, ""), (1001, None), (1002, "só " * 200)]
     rows.append((1003, rows[5][1]))
