@@ -37,7 +37,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     model = secrets.fit(found.withColumn("label", secrets.known_format()))
     judged = secrets.judge(found, model)
     return judged.select(
-        "doc_id", "place", "value", "name", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("is_secret")
+        "doc_id", "place", "part", "value", "name", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("is_secret")
     )
 
 

@@ -13,6 +13,13 @@ KEY_WORDS = r"pass(word|wd|phrase)?|pwd|secret|token|api|key|auth|credential|bea
 SPACES = r"[\x20\x09-\x0D]+"
 SHORTEST = 8
 LONG = 20
+# What is in front of a piece of a word, the piece, and the quote that ends it.
+PIECE = (
+    r"""([^A-Za-z0-9+/_\-]*?)((?:(?<=[=:]["'`])[^\s"'`,&?=:]+|(?<=[=:])[A-Za-z0-9+/_\-.!#$%*@^~]+|"""
+    r"""[A-Za-z0-9+/_\-]+(?:\.[A-Za-z0-9+/_\-]+)*)(?:={1,2}(?=$|[,;&)\]}>.?|\\]|["'`](?:$|[,;&)\]}>:])))?)(["'`]?)"""
+)
+# A shorter piece than LONG has one of these.
+TELLING = r"[0-9!#$%*@^~;|<>(){}\[\]\\=]"
 DICTIONARY = 256
 TRAIN_ROWS = 20_000
 FEATURES = [
@@ -21,37 +28,46 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """(key, path, place, value, name, before, after): strings that might be secrets.
+    """(key, path, place, part, value, name, before, after): strings that might be secrets.
 
     A text is read as words between ASCII white space; ``place`` is the word's number from 0.
-    A candidate is a word's part behind its last ``=`` or ``:``, without quotes and
-    punctuation around it, of eight characters or more that are letters, digits or ``+/_-``,
-    with a digit, or of twenty or more. ``name`` is the part in front. Null and empty texts
-    have none; repeated rows have theirs again; other columns are not read.
+    A word's pieces, numbered by ``part`` from 0, are its runs of letters, digits and ``+/_-``,
+    joined by single dots, with a padding of ``=``. Behind a ``=`` or ``:`` a piece goes on
+    over other punctuation, in quotes up to the quote; quotes, ``,``, ``&``, ``?``, ``=`` and
+    ``:`` always end one. A candidate is a piece of eight characters or more with a digit or
+    other punctuation, or of twenty or more. ``name`` is the piece in front of its ``=`` or
+    ``:``, with the one that leads to it, as in ``password[0]=``. Null and empty texts have
+    none; repeated rows have theirs again; other columns are not read.
     """
     words = F.split(F.col(text), SPACES)
     inner = docs.select(F.col(key).alias("_key"), F.col(path).cast("string").alias("_path"), words.alias("w"))
-
-    def value(w: Column) -> Column:
-        return F.regexp_extract(w, r"([A-Za-z0-9+/_\-]+)[^A-Za-z0-9+/_\-=:]*$", 1)
-
-    def wanted(w: Column) -> Column:
-        return (F.length(w) >= SHORTEST) & w.rlike(
-            rf"(^|[^A-Za-z0-9+/_\-])([A-Za-z0-9+/_\-]{{{LONG},}}|(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{{{SHORTEST},}})[^A-Za-z0-9+/_\-=:]*$"
-        )
-
+    able = lambda w: (F.length(w) >= SHORTEST) & ((F.length(w) >= LONG) | w.rlike(TELLING))
     found = F.filter(
-        F.transform("w", lambda w, i: F.when(wanted(w), F.struct(
+        F.transform("w", lambda w, i: F.when(able(w), F.struct(
             i.alias("place"), w.alias("word"), F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)).alias("before"),
             F.coalesce(F.get("w", i + 1), F.lit("")).alias("after"),
         ))),
         lambda x: x.isNotNull(),
     )
     rows = inner.select("_key", "_path", F.explode(found).alias("c")).select("_key", "_path", "c.*")
+    group = lambda k: F.regexp_extract_all("word", F.lit(PIECE), F.lit(k))
+    rows = rows.withColumns({"_gaps": group(1), "_pieces": group(2), "_quotes": group(3)})
+
+    def value(i: Column) -> Column:
+        piece = F.get("_pieces", i)
+        return F.when(F.get("_quotes", i) == "", F.regexp_replace(piece, "[.!]+$", "")).otherwise(piece)
+
+    def name(i: Column) -> Column:
+        lead = F.when(F.get("_gaps", i - 1).rlike(r"""^[^"'`,&;?=:]+$"""), F.concat(F.coalesce(F.get("_pieces", i - 2), F.lit("")), F.get("_gaps", i - 1)))
+        own = F.concat(F.coalesce(lead, F.lit("")), F.coalesce(F.get("_pieces", i - 1), F.lit("")))
+        return F.when(F.get("_gaps", i).rlike("[=:]"), own).otherwise("")
+
+    parts = F.transform("_pieces", lambda _, i: F.struct(i.alias("part"), value(i).alias("value"), F.lower(name(i)).alias("name")))
+    wanted = F.filter(parts, lambda x: able(x["value"]))
     return rows.select(
-        F.col("_key").alias(key), F.coalesce("_path", F.lit("")).alias("path"), "place", value(F.col("word")).alias("value"),
-        F.lower(F.regexp_extract("word", r"^(.*?)[=:]", 1)).alias("name"), F.lower("before").alias("before"), F.lower("after").alias("after"),
-    ).where(F.length("value") >= SHORTEST)
+        F.col("_key").alias(key), F.coalesce("_path", F.lit("")).alias("path"), "place", F.lower("before").alias("before"),
+        F.lower("after").alias("after"), F.explode(wanted).alias("c"),
+    ).select(key, "path", "place", "c.part", "c.value", "c.name", "before", "after")
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -143,5 +159,5 @@ def known_format(value: str = "value", name: str = "name", before: str = "before
     """
     named = F.col(name).rlike(KEY_WORDS) | F.col(before).rlike(rf"({KEY_WORDS})\S* *[=:]$")
     return F.when(F.col(value).rlike("^AKIA[0-9A-Z]{16}$") | (named & F.col(value).rlike("^[0-9a-f]{16,}$")), 1).when(
-        F.col(value).rlike("^[A-Za-z]+$|^[0-9+/_-]+$"), 0
+        F.col(value).rlike("^[A-Za-z]+$|^[0-9+/_.-]+$"), 0
     )

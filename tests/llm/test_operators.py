@@ -543,6 +543,24 @@ def test_secret_scan_learns_from_findings(spark):
     assert secrets.features(secrets.candidates(odd(spark)), language).count() >= 0
 
 
+def test_every_piece_of_a_word_is_a_candidate(spark):
+    key, jwt, b64 = "AKIA" + "QRST" * 4, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP-mB92K27uh", "c2VjcmV0LXZhbHVlMQ"
+    cases = [
+        (f"see url?key={key}&x=1 now", key, "key"), ('{"token":"9f8e7d6c5b4a3f2e","b":"c"}', "9f8e7d6c5b4a3f2e", "token"),
+        (f'{{"url":"https://h.org/?key={key}"}}', key, "key"), (f"{key},next", key, ""), (f"a {key}. End", key, ""), (f"key:{key}!", key, "key"),
+        (f"data {b64}== end", b64 + "==", ""), (f"secret={b64}=", b64 + "=", "secret"), (f"x=[{b64}=,2]", b64 + "=", "x"),
+        (f'{{"secret":"{b64}==","b":"$c"}}', b64 + "==", "secret"), (f'token="{b64}="', b64 + "=", "token"), ("token='$abcd1234'", "$abcd1234", "token"),
+        ("password=p@ss#w%rd! x", "p@ss#w%rd", "password"), ('pwd="p@ss(w)rd!"', "p@ss(w)rd!", "pwd"), ("password='!Tr0ub4dor&3'", "!Tr0ub4dor", "password"),
+        (f"bearer {jwt}", jwt, ""), (f'"jwt": "{jwt}",', jwt, ""), (f"user:{key}:9f8e7d6c5b4a", key, "user"), (f"{key}:9f8e7d6c5b4a", "9f8e7d6c5b4a", key.lower()),
+        ("password[0]=9f8e7d6c5b4a", "9f8e7d6c5b4a", "password[0"), ("password=9f8e7d6c5b4a", "9f8e7d6c5b4a", "password"),
+    ]
+    found = secrets.candidates(frame(spark, [(k, t, None) for k, (t, _, _) in enumerate(cases)], "doc_id long, text string, source string"))
+    got = {(r["doc_id"], r["value"], r["name"]) for r in found.collect()}
+    assert [c for k, c in enumerate(cases) if (k, *c[1:]) not in got] == []
+    both = secrets.candidates(frame(spark, [(0, f"a={key}&b={key}&c={key}", "")], "doc_id long, text string, source string"))
+    assert sorted((r["place"], r["part"], r["name"]) for r in both.collect()) == [(0, 1, "a"), (0, 3, "b"), (0, 5, "c")]
+
+
 def test_every_operator_is_registered():
     names = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
     assert names == list(range(1, 11))
