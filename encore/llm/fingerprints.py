@@ -16,11 +16,19 @@ SUBSETS = 64
 RATES = (2, 4, 6, 6, 8, 8, 8, 10)
 MAX_TERMS = 1 << 17
 COMMON = 0.1
+SLOTS = 1 << 24
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, n): hash of each lower-cased word and the number of documents that hold it."""
+    return _summed(_counted(docs.select(F.col(text).alias("_text"))))
 
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
     def count(batches):
         held, size = [], 0
 
@@ -44,8 +52,44 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield flush()
 
-    parts = docs.select(F.col(text).alias("_text")).mapInArrow(count, "term bigint, n bigint")
-    return parts.groupBy("term").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "term bigint, n bigint")
+
+
+def distinct_frequencies(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
+    """(term, n) over distinct texts, told apart by a 64-bit hash, and their number.
+
+    Texts that no other row holds are counted where they are. Only rows whose hash falls
+    into a slot of a text that occurs twice are sent, once per task, and counted once.
+    """
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    sizes = cut(rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")))
+    slots = sizes.where("n > 1").select(F.pmod("_hash", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()
+    taken = np.zeros(SLOTS, np.uint8)
+    taken[slots.column(0).to_numpy()] = 1
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(taken))
+
+    def split(twice):
+        def run(batches):
+            slot, seen = np.unpackbits(sent.value).astype(bool), set()
+            for batch in batches:
+                value = batch.column(1).to_numpy()
+                hit = slot[value % SLOTS]
+                if twice:
+                    again = np.flatnonzero(hit)
+                    fresh = []
+                    for i, h in zip(again.tolist(), value[again].tolist()):
+                        if h not in seen:
+                            seen.add(h)
+                            fresh.append(i)
+                    yield batch.take(pa.array(fresh, pa.int64()))
+                else:
+                    yield batch.filter(pa.array(~hit))
+
+        return rows.mapInArrow(run, "_text string, _hash bigint")
+
+    copies = split(True).dropDuplicates(["_hash"])
+    parts = _counted(split(False).select("_text")).unionByName(_counted(copies.select("_text")))
+    return _summed(parts), sizes.count()
 
 
 class Lexicon:
@@ -102,15 +146,15 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fit_lexicon(docs: DataFrame, text: str = "text", max_terms: int = MAX_TERMS, common: float = COMMON) -> Lexicon:
-    """The band of inverse document frequency, counted over all documents.
+    """The band of inverse document frequency, counted over all distinct texts.
 
-    A term is too common above the share ``common`` of documents. It is too rare
-    below one ``max_terms``-th of all (document, term) pairs, so the lexicon has at
-    most ``max_terms`` terms however large the corpus is, and may be sent to all tasks.
+    A term is too common above the share ``common`` of texts. It is too rare below
+    one ``max_terms``-th of all (text, term) pairs, so the lexicon has at most
+    ``max_terms`` terms however large the corpus is, and may be sent to all tasks.
     """
-    counts = cut(document_frequencies(docs, text))
+    counts, rows = distinct_frequencies(docs, text)
+    counts = cut(counts)
     pairs = counts.agg(F.sum("n")).first()[0] or 0
-    rows = docs.count()
     low, high = max(2, -(-pairs // max_terms)), max(2, int(common * rows))
     terms = counts.where((F.col("n") >= low) & (F.col("n") <= high)).select("term").toArrow()
     return Lexicon(terms.column(0).to_numpy())

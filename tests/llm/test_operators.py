@@ -519,6 +519,19 @@ def test_lexicon_is_bounded(spark):
     assert 0 < len(fingerprints.fit_lexicon(docs, max_terms=100, common=1.0).terms) <= 100
 
 
+def test_a_hot_group_counts_once_in_the_lexicon(spark):
+    texts = texts_of(200, 41, 60, 4000)
+    hot = " ".join(f"hot{j}" for j in range(60))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, hot) for k in range(100)] + [(2000, hot.replace("hot7 ", "cold ")), (2001, None), (2002, "")]
+    docs = frame(spark, rows).repartition(7)
+    lexicon = fingerprints.fit_lexicon(docs)
+    alone = fingerprints.fit_lexicon(docs.where("doc_id < 1000 OR doc_id IN (1000, 2000, 2001)"))
+    assert len(lexicon.terms) > 40 and (lexicon.terms == alone.terms).all()
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint(docs, lexicon).collect()}
+    a, b = (np.frombuffer(bytes.fromhex(got[k]), np.uint32).reshape(1, -1) for k in (1000, 2000))
+    assert fingerprints.likeness(a, b)[0] > 0.3
+
+
 def test_secret_scan_learns_from_findings(spark):
     rng = random.Random(12)
     rows = []
