@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from encore.llm.blocks import distinct_in_rows, groups, mix, powers, text_blocks, words
 from encore.llm.components import components
+from encore.operators.skew import salted_join
 from encore.sources.workspace import cut
 
 WORDS = 5
@@ -16,6 +17,8 @@ FANOUT = 8
 SIGNATURE = 32
 UNIT = 500
 ALONE = 1000
+# Pairs of lowest nodes whose leaves are expanded at a time.
+SLICE = 256
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -222,42 +225,93 @@ def tree_links(tokens: list[np.ndarray], sizes: np.ndarray, counter: list[int] |
             i = parent[i]
         return i
 
-    a = b = np.zeros(1, np.int64)
-    for depth in range(len(levels) - 1, -1, -1):
+    def reach(depth: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the bitmaps of each pair of nodes allow a link."""
         bits, over, lo, hi = levels[depth]
-        if depth < len(levels) - 1:
-            n = len(bits)
-            step = np.arange(FANOUT)
-            a = np.repeat((a[:, None] * FANOUT + step), FANOUT, axis=1).ravel() if len(a) else a
-            b = np.tile((b[:, None] * FANOUT + step), (1, FANOUT)).ravel() if len(b) else b
-            some = (a < n) & (b < n) & (a <= b)
-            a, b = a[some], b[some]
         keep = np.zeros(len(a), bool)
         for s in range(0, len(a), 1 << 16):
             x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
             overlap = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64) + np.minimum(over[x], over[y])
             overlap = np.minimum(overlap, np.minimum(hi[x], hi[y]))
             keep[s : s + (1 << 16)] = (7 * overlap >= 3 * (lo[x] + lo[y])) & (4 * overlap >= 3 * np.maximum(lo[x], lo[y]))
+        return keep
+
+    def below(depth: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of nodes of a level under pairs of the level above."""
+        step, n = np.arange(FANOUT), len(levels[depth][0])
+        a = np.repeat((a[:, None] * FANOUT + step), FANOUT, axis=1).ravel()
+        b = np.tile((b[:, None] * FANOUT + step), (1, FANOUT)).ravel()
+        some = (a < n) & (b < n) & (a <= b)
+        return a[some], b[some]
+
+    a = b = np.zeros(1, np.int64)
+    for depth in range(len(levels) - 1, 0, -1):
+        if depth < len(levels) - 1:
+            a, b = below(depth, a, b)
+        keep = reach(depth, a, b)
         a, b = a[keep], b[keep]
-    found = []
-    leaf = a != b
-    a, b = a[leaf], b[leaf]
+    # Leaves are expanded in slices, near ones first; those connected by then fall out.
     near = np.argsort(b - a, kind="stable")
-    for i, j in zip(a[near].tolist(), b[near].tolist()):
-        ri, rj = find(i), find(j)
-        if ri == rj:
-            continue
-        if counter is not None:
-            counter[0] += 1
-        x, y = (tokens[i], tokens[j]) if len(tokens[i]) <= len(tokens[j]) else (tokens[j], tokens[i])
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        if 7 * int((y[at] == x).sum()) >= 3 * int(sizes[i] + sizes[j]):
-            parent[max(ri, rj)] = min(ri, rj)
-            found.append((int(order[i]), int(order[j])))
+    a, b = a[near], b[near]
+    found = []
+    label = np.arange(len(tokens))
+    for s in range(0, len(a), SLICE):
+        left, right = below(0, a[s : s + SLICE], b[s : s + SLICE])
+        apart = label[left] != label[right]
+        left, right = left[apart], right[apart]
+        keep = reach(0, left, right)
+        left, right = left[keep], right[keep]
+        near, known = np.argsort(right - left, kind="stable"), len(found)
+        for i, j in zip(left[near].tolist(), right[near].tolist()):
+            ri, rj = find(i), find(j)
+            if ri == rj:
+                continue
+            if counter is not None:
+                counter[0] += 1
+            x, y = (tokens[i], tokens[j]) if len(tokens[i]) <= len(tokens[j]) else (tokens[j], tokens[i])
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            if 7 * int((y[at] == x).sum()) >= 3 * int(sizes[i] + sizes[j]):
+                parent[max(ri, rj)] = min(ri, rj)
+                found.append((int(order[i]), int(order[j])))
+        if len(found) > known:
+            label = np.array([find(i) for i in range(len(tokens))])
     return found
 
 
+def units(members: DataFrame) -> DataFrame:
+    """Members with their unit (``part`` of their root and band) and the numbers of units.
+
+    ``parts`` counts the units of the band, ``above`` and ``below`` those of its neighbours.
+    A cluster that is not ``large`` is one unit. In a large one a smallest token of more than
+    ``UNIT`` sets has units of its own, among which a hash of the set deals; the other
+    tokens share units by hash. So units have about ``UNIT`` sets, however alike these are.
+    """
+    tokens = cut(members.groupBy("root", "band", "low").agg(F.count(F.lit(1)).alias("c")))
+    large = tokens.groupBy("root").agg((F.sum("c") > ALONE).alias("large"))
+    hot, copies = F.col("c") > UNIT, F.ceil(F.col("c") / UNIT)
+    parts = (
+        tokens.groupBy("root", "band")
+        .agg(F.ceil(F.sum(F.when(hot, 0).otherwise(F.col("c"))) / UNIT).alias("mixed"), F.sum(F.when(hot, copies).otherwise(0)).alias("own"))
+        .join(large, "root")
+        .select("root", "band", "large", "mixed", F.when(F.col("large"), F.col("mixed") + F.col("own")).otherwise(1).cast("int").alias("parts"))
+    )
+    up = parts.select(F.col("root"), (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
+    down = parts.select(F.col("root"), (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
+    parts = parts.join(up, ["root", "band"], "left").join(down, ["root", "band"], "left").na.fill(0, ["above", "below"])
+    # At most one row for every UNIT members.
+    before = Window.partitionBy("root", "band").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    spot = F.struct("root", "band", "low").alias("_spot")
+    salts = tokens.where(hot).withColumn("copies", copies).select(
+        spot, "copies", "c", F.coalesce(F.sum("copies").over(before), F.lit(0)).alias("offset")
+    )
+    known = salted_join(members.select("*", spot), salts, "_spot", "c", "left").drop("_spot", "c").join(parts, ["root", "band"])
+    part = F.when(~F.col("large"), 0).when(
+        F.col("copies").isNotNull(), F.col("mixed") + F.col("offset") + F.pmod(F.xxhash64("entity"), F.coalesce("copies", F.lit(1)))
+    ).otherwise(F.pmod(F.xxhash64("low"), F.greatest("mixed", F.lit(1))))
+    return known.withColumn("part", part.cast("int")).drop("copies", "offset", "mixed")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row.
 
@@ -272,8 +326,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     others hold three quarters of it. Of the rest, each set's rarest tokens must include
     one that it shares with any partner, so sets that are connected by such tokens form
     clusters, and no link leaves a cluster. Each cluster is joined with itself by a
-    signature tree. A large one is cut into units by size band and smallest token, and
-    pairs of units whose sizes can link are tasks of their own. Tasks return no pairs
+    signature tree. A large one is cut into units of bounded size by size band and smallest
+    token (``units``), and pairs of units whose sizes can link are tasks of their own. Tasks return no pairs
     but a spanning forest. Sets are told apart by a 64-bit hash.
     """
     spark = docs.sparkSession
@@ -323,16 +377,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         .mapInArrow(sized, "entity bigint, root bigint, n bigint, low bigint, values binary")
     )
     members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.4))).cast("int"))
-    per_band = cut(members.groupBy("root", "band").agg(F.count(F.lit(1)).alias("c")))
-    whole = per_band.groupBy("root").agg(F.sum("c").alias("all"))
-    parts = per_band.join(whole, "root").select(
-        "root", "band", F.when(F.col("all") > ALONE, F.ceil(F.col("c") / UNIT)).otherwise(1).cast("int").alias("parts"),
-        (F.col("all") > ALONE).alias("large"),
-    )
-    up = parts.select(F.col("root"), (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
-    down = parts.select(F.col("root"), (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
-    parts = parts.join(up, ["root", "band"], "left").join(down, ["root", "band"], "left").na.fill(0, ["above", "below"])
-    spread = members.join(parts, ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("low"), F.col("parts")).cast("int"))
+    spread = units(members)
     own = F.struct(F.col("band").alias("band"), F.col("part").alias("part"))
 
     def others(count: str, shift: int):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -130,6 +131,41 @@ def test_signature_tree_prunes_and_loses_nothing():
     assert counted[0] < len(sets) * (len(sets) - 1) / 2 / 10
 
 
+def test_edited_copies_are_cut_into_bounded_units(spark, monkeypatch):
+    for name in ("UNIT", "ALONE"):
+        monkeypatch.setattr(jaccard, name, 20)
+    rows = [(0, 3, e, 7) for e in range(600)] + [(0, 3, 1000 + e, 100 + e) for e in range(90)]
+    rows += [(0, 4, 2000 + e, 7 + e % 2) for e in range(100)] + [(1, 3, 3000 + e, 7) for e in range(9)]
+    got = jaccard.units(frame(spark, rows, "root long, band int, entity long, low long")).collect()
+    assert len(got) == len(rows)
+    sizes = {}
+    for r in got:
+        sizes.setdefault((r["root"], r["band"], r["part"]), []).append(r["entity"])
+        assert 0 <= r["part"] < r["parts"]
+    assert max(map(len, sizes.values())) <= 45
+    numbers = {(r["root"], r["band"]): (r["parts"], r["above"], r["below"], r["large"]) for r in got}
+    assert numbers == {(0, 3): (35, 6, 0, True), (0, 4): (6, 0, 35, True), (1, 3): (1, 0, 0, False)}
+    assert not {k for k, v in sizes.items() if min(v) < 1000 <= max(v)}
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[:59] + [f"x{k}"]) for k in range(130)] + [" ".join(words[:50] + [f"y{k}"] * 2) for k in range(70)]
+    texts = list(enumerate(texts))
+    found = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(frame(spark, texts)).collect()}
+    assert found == jaccard_brute(texts)
+
+
+def test_tree_of_edited_copies_takes_little_memory():
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
+    sets = [np.unique(np.append(base, np.uint64(2**63 + k))) for k in range(3000)]
+    counted = [0]
+    tracemalloc.start()
+    found = jaccard.tree_links(sets, np.full(len(sets), 61), counted)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(sets) - 1 and counted[0] < 2 * len(sets)
+    assert peak < 100 << 20
+
+
 def test_jaccard_odd_rows(spark):
     got = jaccard.jaccard_components(odd(spark)).collect()
     assert len(got) == len(odd_rows())
