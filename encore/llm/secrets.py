@@ -7,6 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from encore.sources.workspace import cut
+
 # What marks a path as not real, and words that stand near a secret.
 SAMPLE_PATHS = r"test|example|sample|fixture|demo|doc"
 KEY_WORDS = r"pass(word|wd|phrase)?|pwd|secret|token|api|key|auth|credential|bearer"
@@ -128,23 +130,30 @@ def features(found: DataFrame, language: Language) -> DataFrame:
 
 
 def fit(labelled: DataFrame, label: str = "label", rows: int = TRAIN_ROWS, trees: int = 24, depth: int = 6, seed: int = 17) -> RandomForestClassificationModel | None:
-    """Random forest on at most ``rows`` labelled findings, the first in the order of a hash.
+    """Random forest on at most ``rows`` distinct labelled findings.
 
-    Rows with a null label are left out. Without findings of both labels there is no model.
+    Each label has half of them, or what the other leaves; of more the first in the order of
+    a hash are taken. Rows with a null label are left out. Without findings of both labels
+    there is no model.
     """
     some = labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("_label"), *FEATURES, F.xxhash64("value", "before", "after").alias("_h"))
-    some = some.orderBy("_h", *FEATURES).limit(rows).repartition(8, "_h")
-    train = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(some).select("_label", "_features")
-    if train.select("_label").distinct().count() < 2:
+    some = cut(some.distinct())
+    sizes = {r["_label"]: r["count"] for r in some.groupBy("_label").count().collect()}
+    if len(sizes) < 2:
         return None
+    (a, n), (b, m) = sorted(sizes.items())
+    first = min(n, max(rows // 2, rows - m))
+    taken = [some.where(F.col("_label") == v).orderBy("_h", *FEATURES).limit(k) for v, k in ((a, first), (b, rows - first))]
+    some = taken[0].unionByName(taken[1]).repartition(8, "_h")
+    train = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(some).select("_label", "_features")
     forest = RandomForestClassifier(labelCol="_label", featuresCol="_features", numTrees=trees, maxDepth=depth, seed=seed)
     return forest.fit(train)
 
 
 def judge(found: DataFrame, model: RandomForestClassificationModel | None, name: str = "score") -> DataFrame:
-    """Candidates with the probability that they are secrets; without a model it is one half."""
+    """Candidates with the probability that they are secrets; without a model it is 0, none is marked."""
     if model is None:
-        return found.withColumn(name, F.lit(0.5))
+        return found.withColumn(name, F.lit(0.0))
     rows = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(found)
     model.setFeaturesCol("_features").setProbabilityCol("_probability").setRawPredictionCol("").setPredictionCol("")
     return model.transform(rows).withColumn(name, vector_to_array("_probability")[1]).drop("_features", "_probability")

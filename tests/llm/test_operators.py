@@ -592,6 +592,19 @@ def test_secret_scan_learns_from_findings(spark):
     assert secrets.features(secrets.candidates(odd(spark)), language).count() >= 0
 
 
+def test_copies_do_not_fill_the_training_rows(spark):
+    values = frame(spark, [(k, f"value{k}") for k in range(40)]).select("doc_id", F.col("text").alias("value"), F.lit("").alias("before"), F.lit("").alias("after"))
+    order = [r[0] for r in values.orderBy(F.xxhash64("value", "before", "after")).collect()]
+    late = F.col("doc_id").isin(order[20:])
+    found = values.withColumns({f: F.when(late, 1.0).otherwise(0.0) for f in secrets.FEATURES}).withColumn("label", late.cast("int"))
+    labelled = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(late, 1).otherwise(100))))
+    model = secrets.fit(labelled, rows=30)
+    judged = secrets.judge(found, model).collect()
+    assert all((r["score"] >= 0.5) == (r["label"] == 1) for r in judged)
+    none = secrets.fit(labelled.where(~late))
+    assert none is None and {r["score"] for r in secrets.judge(found, none).collect()} == {0.0}
+
+
 def test_every_piece_of_a_word_is_a_candidate(spark):
     key, jwt, b64 = "AKIA" + "QRST" * 4, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP-mB92K27uh", "c2VjcmV0LXZhbHVlMQ"
     cases = [
