@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from encore.llm import chat, fingerprints, jaccard, lines, mixing, packing, secrets, substrings, toxicity, vectors
+from encore.llm import chat, fingerprints, jaccard, lines, mixing, packing, secrets, sharding, spelling, substrings, toxicity, vectors
 from encore.sources.workspace import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,15 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of every document and of its text edited with that of the next."""
     docs = read(spark, folder, "documents")
     return fingerprints.compare_with_next(docs, fingerprints.fit_lexicon(docs))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents with the frequent word one edit away."""
+    return spelling.spelling_variants(read(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op13_sharding")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document among 16 shards, and its shard among 17."""
+    return sharding.sharded(read(spark, folder, "documents").select("doc_id", "text"), 16)
