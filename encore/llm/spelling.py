@@ -169,10 +169,9 @@ def near_pairs(left, right, lengths, starts, sizes, base, width, zone, longer, o
                 near = single_edits(front[:, :columns], back[:, :columns], inner, i, j)[0] & open_pairs
                 g, x, y = np.nonzero(near)
                 found.append((at[g, top + x], at[g, y]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    i, j = (np.concatenate(x) for x in zip(*found))
-    kept = []
+    none = np.empty(0, np.int64)
+    i, j = (np.concatenate([none, *x]) for x in (zip(*found) if found else ((), ())))
+    kept = [np.empty(0, bool)]
     for lo in range(0, len(i), step := max(1, CELLS // left.shape[1])):
         x, y = i[lo : lo + step], j[lo : lo + step]
         near, p, s = single_edits(left, right, lengths, x, y)

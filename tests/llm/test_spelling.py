@@ -105,6 +105,12 @@ def test_small_tiles_give_the_same_pairs(spark, monkeypatch):
     assert found(spelling.variants(words)) == brute(counts)
 
 
+def test_words_that_share_a_key_need_not_be_near(spark):
+    counts = {"abcdefg": 2, "abcxyzg": 50, "abcuvwgh": 9}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    assert found(spelling.variants(words)) == {w: (None, w, n, 0, None) for w, n in counts.items()}
+
+
 def test_prefix_and_suffix_decide_single_edits():
     words = ["aab", "aaab", "aabb", "aab", "baa", "", "a", "ab", "x" * 9]
     left, right, lengths = spelling.matrices(words)
