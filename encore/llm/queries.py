@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from encore.llm import chat, fingerprints, jaccard, lines, mixing, packing, secrets, sharding, spelling, substrings, toxicity, vectors
+from encore.llm import alignment, chat, fingerprints, jaccard, lines, mixing, packing, secrets, sharding, spelling, substrings, toxicity, vectors
 from encore.sources.workspace import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,13 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of the tokens that two vocabularies make of every document."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op13_sharding")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and slot of every document among 16 shards, and its shard among 17."""
