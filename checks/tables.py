@@ -217,14 +217,14 @@ TABLES: dict[str, str] = {
           GROUP BY name, d) GROUP BY name""",
     "similar_lists": """
         SELECT pid, k, rank, candidate, similarity FROM (
-          SELECT *, row_number() OVER (PARTITION BY pid ORDER BY similarity DESC, candidate) AS rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(similarity, 12) DESC, candidate) AS rank FROM (
             SELECT q.pid, q.k, t.pid AS candidate, sim AS similarity
             FROM test_lists q JOIN (
-              SELECT a.name AS qname, b.name AS tname, round(list_cosine_similarity(a.vec, b.vec), 6) AS sim
+              SELECT a.name AS qname, b.name AS tname, list_cosine_similarity(a.vec, b.vec) AS sim
               FROM title_vectors a, title_vectors b
               WHERE a.name IN (SELECT name FROM test_lists) AND b.name IN (SELECT name FROM train_lists)) s ON q.name = qname
             JOIN train_lists t ON t.name = tname))
-        WHERE rank <= 100""",
+        WHERE rank <= 500""",
     "item_vecs": """
         SELECT CAST(vec_id AS VARCHAR) AS item, CAST(embedding AS DOUBLE[]) AS vec,
           'a' || label AS artist FROM embeddings""",
@@ -233,12 +233,11 @@ TABLES: dict[str, str] = {
         FROM seeds""",
     "item_sims": """
         SELECT seed, rank, item, similarity FROM (
-          SELECT a.item AS seed, b.item AS item, round(list_cosine_similarity(a.vec, b.vec), 6) AS similarity,
+          SELECT a.item AS seed, b.item AS item, round(list_cosine_similarity(a.vec, b.vec), 12) AS similarity,
             row_number() OVER (PARTITION BY a.item
-              ORDER BY round(list_cosine_similarity(a.vec, b.vec), 6) DESC, b.item) AS rank
+              ORDER BY round(list_cosine_similarity(a.vec, b.vec), 12) DESC, b.item) AS rank
           FROM item_vecs a JOIN item_vecs b ON a.item <> b.item
-          WHERE a.item IN (SELECT track_uri FROM item_seeds))
-        WHERE rank <= 10000""",
+          WHERE a.item IN (SELECT track_uri FROM item_seeds))""",
     "item_lists": """
         SELECT seed, item, artist, similarity, rank FROM (
           SELECT *, row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, item) AS rank FROM (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
 from encore.functions import titles, vectors
-from encore.operators import item_vectors, title_match, title_vectors
+from encore.operators import bounded_search, item_vectors, title_match, title_vectors
 from encore.sources.star import EMOJI_TERMS, SLANG
 
 SEED_K = 100
@@ -29,6 +29,11 @@ def similar(s):
     )
 
 
+def shown(rows):
+    """Similarities as the statements show them; their order is that of the full values."""
+    return rows.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("h1_title_key", "SELECT pid, key FROM train_keys")
 def _(s):
     return s.train_lists.select("pid", titles.title_key(F.col("name")).alias("key"))
@@ -170,24 +175,24 @@ def _(s):
     return rounded(rows.join(other, "vec_id").select("vec_id", vectors.cosine("a", "b").alias("cos")), "cos")
 
 
-_SIMILAR = "SELECT pid, rank, candidate, similarity FROM similar_lists"
+_SIMILAR = "SELECT pid, rank, candidate, round(similarity, 6) AS similarity FROM similar_lists WHERE rank <= 100"
 
 
 @query("i8_similar_playlists", _SIMILAR)
 def _(s):
-    return title_vectors.similar_playlists(s.test_lists, s.train_lists, name_vectors(s))
+    return shown(title_vectors.similar_playlists(s.test_lists, s.train_lists, name_vectors(s)))
 
 
-@query("i9_batch_similar", f"{_SIMILAR} WHERE k = 0")
+@query("i9_batch_similar", f"{_SIMILAR} AND k = 0")
 def _(s):
-    return title_vectors.similar_playlists(s.test_lists.where("k = 0"), s.train_lists, name_vectors(s))
+    return shown(title_vectors.similar_playlists(s.test_lists.where("k = 0"), s.train_lists, name_vectors(s)))
 
 
 @query(
     "c5_nearest_by_cosine",
     """SELECT query, candidate, rank, similarity FROM (SELECT a.label AS query, b.vec_id AS candidate,
          round(list_cosine_similarity(a.vec, b.vec), 6) AS similarity,
-         row_number() OVER (PARTITION BY a.label ORDER BY round(list_cosine_similarity(a.vec, b.vec), 6) DESC, b.vec_id) AS rank
+         row_number() OVER (PARTITION BY a.label ORDER BY round(list_cosine_similarity(a.vec, b.vec), 12) DESC, b.vec_id) AS rank
        FROM (SELECT label, list(x ORDER BY d) AS vec FROM (
            SELECT label, d, avg(x) AS x FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x,
              generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY ALL) GROUP BY label) a,
@@ -203,30 +208,30 @@ def _(s):
         .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"))
         .select(F.col("label").alias("query"), F.transform("v", lambda c: c["x"]).alias("item"))
     )
-    found = title_match.nearest(
+    found, _ = bounded_search.search(
         base.select(F.col("vec_id").alias("name"), F.col("vec_id").alias("tie"), F.col("vec").alias("item")),
-        title_vectors.unit(means, "item"), "cosine", 50,
+        title_vectors.unit(means, "item"), 50,
     )
-    return found.select("query", F.col("name").alias("candidate"), "rank", (F.lit(0.0) - F.col("cost")).alias("similarity"))
+    return shown(found.select("query", F.col("name").alias("candidate"), "rank", (F.lit(0.0) - F.col("cost")).alias("similarity")))
 
 
 def _similar_vote(k, where="true"):
     return f"""
-    SELECT pid, rank, track_uri, score FROM (
+    SELECT pid, rank, track_uri, round(CAST(score AS DOUBLE), 6) AS score FROM (
       SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, r, p, track_uri) AS rank FROM (
-        SELECT l.pid, e.track_uri, round(sum(similarity), 6) AS score, min(l.rank) AS r, arg_min(pos, l.rank * 1000000 + pos) AS p
+        SELECT l.pid, e.track_uri, sum(CAST(similarity AS DECIMAL(26, 12))) AS score, min(l.rank) AS r, arg_min(pos, l.rank * 1000000 + pos) AS p
         FROM similar_lists l JOIN train_tracks e ON e.pid = l.candidate WHERE {where} GROUP BY ALL))
     WHERE rank <= {k}"""
 
 
-@query("i10_vote_by_similarity", _similar_vote(SEED_K))
+@query("i10_vote_by_similarity", _similar_vote(SEED_K, "l.rank <= 100"))
 def _(s):
-    return title_vectors.vote_by_similarity(similar(s), s.train, SEED_K)
+    return rounded(title_vectors.vote_by_similarity(similar(s), s.train, SEED_K), "score")
 
 
 @query(
     "i11_fill_seeds",
-    f"""SELECT pid, rank, track_uri, 'vector' AS source FROM ({_similar_vote(SEED_K, 'k = 0')})
+    f"""SELECT pid, rank, track_uri, 'vector' AS source FROM ({_similar_vote(SEED_K, 'k = 0 AND l.rank <= 100')})
         UNION ALL SELECT pid, rank, track_uri, 'title' FROM ({_vote_sql(SEED_K, 'k = 0')})
         WHERE pid NOT IN (SELECT pid FROM similar_lists)""",
 )
@@ -237,10 +242,15 @@ def _(s):
     return title_vectors.fill_seeds(s.test_lists, by_vector, by_title)
 
 
-@query("i12_vector_recommend", _similar_vote(500, "l.rank <= 100"))
+def vector_recs(s):
+    return s.stored(
+        "vector_recs", lambda: title_vectors.vector_recommend(s.test_lists, s.train_lists, name_vectors(s), s.train, 500)
+    )
+
+
+@query("i12_vector_recommend", _similar_vote(500))
 def _(s):
-    rows = title_vectors.similar_playlists(s.test_lists, s.train_lists, name_vectors(s), 100)
-    return title_vectors.vote_by_similarity(rows, s.train, 500)
+    return rounded(vector_recs(s), "score")
 
 
 @query(
@@ -252,24 +262,23 @@ def _(s):
     return docs.withColumn("document", F.array_join("document", " "))
 
 
-@query("j3_similar_items", "SELECT seed, rank, item, similarity FROM item_sims")
+@query("j3_similar_items", "SELECT seed, rank, item, round(similarity, 6) AS similarity FROM item_sims")
 def _(s):
     items = s.item_seeds.select(F.col("track_uri").alias("item"))
-    return item_vectors.similar_items(s.item_vectors, items)
+    return shown(item_vectors.similar_items(s.item_vectors, items))
 
 
 def item_lists(s):
     def build():
         items = s.item_seeds.select(F.col("track_uri").alias("item"))
-        found = item_vectors.similar_items(s.item_vectors, items)
-        return item_vectors.diversify(found, s.item_vectors.select("item", "artist"))
+        return item_vectors.diverse_items(s.item_vectors, items, s.item_vectors.select("item", "artist"))
 
     return s.stored("item_lists", build)
 
 
-@query("j4_diversify", "SELECT seed, item, artist, similarity, rank FROM item_lists")
+@query("j4_diversify", "SELECT seed, item, artist, round(similarity, 6) AS similarity, rank FROM item_lists")
 def _(s):
-    return item_lists(s).select("seed", "item", "artist", "similarity", "rank")
+    return shown(item_lists(s).select("seed", "item", "artist", "similarity", "rank"))
 
 
 def _interleave_sql(with_seeds):

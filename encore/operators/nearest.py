@@ -1,4 +1,4 @@
-"""Exact nearest neighbours of many queries in a large table.
+"""Exact nearest texts by edit distance of many queries in a large table.
 
 Every task compares its rows with the queries in blocks and passes on only the
 best ``k`` per query, so pairs are never written out. Few queries are broadcast
@@ -75,34 +75,9 @@ def _edit_costs(texts, k):
     return costs
 
 
-def _cosine_costs(vectors, k):
-    """Function from a query to the negative cosines of unit vectors, at six decimals."""
-    import numpy as np
-
-    matrix = np.array(vectors)
-
-    def costs(query):
-        return -np.round(matrix @ np.array(query), 6) + 0.0
-
-    return costs
-
-
-def _dot_costs(vectors, k):
-    """Function from a query to the negative inner products."""
-    import numpy as np
-
-    matrix = np.array(vectors)
-
-    def costs(query):
-        return -(matrix @ np.array(query))
-
-    return costs
-
-
-def _finder(kind: str, k: int):
+def _finder(k: int):
     """Function (pandas rows, query names, query payloads) -> frames of best pairs."""
-    kernels = {"edit": _edit_costs, "cosine": _cosine_costs, "dot": _dot_costs}
-    kernel, step_rows = kernels[kind], STEP_ROWS
+    kernel, step_rows = _edit_costs, STEP_ROWS
 
     def find(rows, asked, payloads):
         import numpy as np
@@ -138,16 +113,15 @@ def _finder(kind: str, k: int):
 
 
 def nearest(
-    base: DataFrame, queries: DataFrame, kind: str, k: int, max_broadcast: int = MAX_BROADCAST
+    base: DataFrame, queries: DataFrame, k: int, max_broadcast: int = MAX_BROADCAST
 ) -> DataFrame:
-    """(query, name, tie, cost, rank): the ``k`` nearest rows of each query.
+    """(query, name, tie, cost, rank): the ``k`` rows of least edit distance to each query.
 
-    ``base`` has (name, tie, item), ``queries`` (query, item); ``tie`` orders
-    equal costs. ``kind`` is ``edit`` for texts, ``cosine`` for unit vectors or
-    ``dot`` for the largest inner products.
+    ``base`` has (name, tie, item), ``queries`` (query, item), items are texts; ``tie`` orders
+    equal costs.
     """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    find = _finder(kind, k)
+    find = _finder(k)
     fields = {f.name: f.dataType for f in base.schema.fields}
     schema = T.StructType(
         [

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from encore.functions.titles import Terms, title_tokens
 from encore.functions.vectors import mean_vector, norm
-from encore.operators.nearest import nearest
+from encore.operators.bounded_search import search
 from encore.operators.ranking import top_k_per
 from encore.operators.skew import salted_join
 from encore.operators.title_match import _expand, candidate_mentions
@@ -55,7 +55,7 @@ def similar_playlists(lists: DataFrame, train: DataFrame, vectors: DataFrame, k:
         lists.select("name").distinct().join(scaled, "name")
         .select(F.col("name").alias("query"), F.col("vec").alias("item"))
     )
-    found = nearest(base, queries, "cosine", k)
+    found, _ = search(base, queries, k)
     keyed = train.where("name is not null").select("pid", "name", F.col("pid").alias("tie"))
     asked = lists.select("pid", F.col("name").alias("query"))
     return _expand(found, asked, keyed, "tie", k).select(
@@ -64,14 +64,17 @@ def similar_playlists(lists: DataFrame, train: DataFrame, vectors: DataFrame, k:
 
 
 def vote_by_similarity(similar: DataFrame, tracks: DataFrame, k: int = 100) -> DataFrame:
-    """(pid, rank, track_uri, score): tracks by summed similarity over their mentions."""
+    """(pid, rank, track_uri, score): tracks by summed similarity over their mentions.
+
+    Sums are of decimals with twelve places, so they do not depend on the order of addition.
+    """
     mentions = candidate_mentions(similar, tracks, "similarity")
     votes = mentions.groupBy("pid", "track_uri").agg(
-        F.round(F.sum(F.col("similarity") * F.col("n")), 6).alias("score"),
+        F.sum((F.col("similarity") * F.col("n")).cast("decimal(26,12)")).alias("score"),
         F.min(F.struct("rank", "pos")).alias("_first"),
     )
     return top_k_per(votes, ["pid"], [F.desc("score"), "_first", "track_uri"], k).select(
-        "pid", "rank", "track_uri", "score"
+        "pid", "rank", "track_uri", F.col("score").cast("double").alias("score")
     )
 
 

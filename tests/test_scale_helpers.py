@@ -123,8 +123,8 @@ def test_nearest_titles_against_brute_force(spark):
         for q in asked
         for d, _, n in sorted((edit(q, n), ties[n], n) for n in names)[:5]
     )
-    small = nearest(base, queries, "edit", 5)
-    grid = nearest(base, queries, "edit", 5, max_broadcast=3)
+    small = nearest(base, queries, 5)
+    grid = nearest(base, queries, 5, max_broadcast=3)
     for found in (small, grid):
         got = {(r["query"], r["rank"]): (r["cost"], ties[r["name"]]) for r in found.collect()}
         want = {}
@@ -135,23 +135,6 @@ def test_nearest_titles_against_brute_force(spark):
     assert len(expected) == 5 * len(asked)
 
 
-def test_nearest_vectors_against_brute_force(spark):
-    rng = np.random.default_rng(4)
-    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-    base, asked = unit(rng.normal(size=(60, 8))), unit(rng.normal(size=(9, 8)))
-    sims = np.round(asked @ base.T, 6)
-    want = {
-        (q, i): n
-        for q in range(9)
-        for i, n in enumerate(sorted(range(60), key=lambda n: (-sims[q, n], n))[:4], 1)
-    }
-    left = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(base)], "name long, tie long, item array<double>")
-    right = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query long, item array<double>")
-    for limit in (100, 2):
-        found = nearest(left, right, "cosine", 4, max_broadcast=limit)
-        assert {(r["query"], r["rank"]): r["name"] for r in found.collect()} == want
-
-
 def test_stored_table_is_built_once(spark):
     calls = []
 
