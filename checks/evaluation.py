@@ -75,6 +75,16 @@ def _(s):
     return rounded(transitions.continue_semi(s.seeds, fitted(s)), "score")
 
 
+@query("k4_one_hop", f"SELECT {_REC_COLUMNS} FROM full_recs")
+def _(s):
+    return rounded(transitions.continue_semi(s.seeds, fitted(s), hops=1), "score")
+
+
+@query("k4_three_hops", f"SELECT {_REC_COLUMNS} FROM three_hop_recs")
+def _(s):
+    return rounded(transitions.continue_semi(s.seeds, fitted(s), hops=3), "score")
+
+
 @query(
     "k5_next_item",
     """SELECT pid, prev, next, round(p, 6) AS p FROM (SELECT pid, arg_max(track_uri, pos) AS prev FROM seeds GROUP BY pid)
@@ -121,9 +131,9 @@ def _(s):
 
 @query(
     "j10_score_accumulate",
-    """SELECT pid, rank, track_uri, round(score, 6) AS score FROM (SELECT *, row_number() OVER (
+    """SELECT pid, rank, track_uri, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT *, row_number() OVER (
          PARTITION BY pid ORDER BY score DESC, track_uri) AS rank FROM (
-         SELECT pid, track_uri, round(sum(1 / (pos + 1)), 9) AS score FROM part_tracks p WHERE part = 'test' AND NOT EXISTS (
+         SELECT pid, track_uri, sum(CAST(1 / (pos + 1) AS DECIMAL(26, 12))) AS score FROM part_tracks p WHERE part = 'test' AND NOT EXISTS (
            SELECT 1 FROM seeds s WHERE s.pid = p.pid AND s.track_uri = p.track_uri) GROUP BY ALL)) WHERE rank <= 20""",
 )
 def _(s):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
 from encore.functions.titles import epoch_day, hours_label
+from encore.functions.significance import correlation_p_value
 from encore.operators import binning, lookups, profile, ranking, segments
 from encore.operators.skew import salted_join
 from encore.operators.split import split_report
@@ -320,13 +321,31 @@ def _(s):
     return profile.name_collisions(s.tracks, given, "track_uri", "track_name").fillna(0)
 
 
+# The share of the integral of cos(x)^(n - 3) over a quarter turn that lies above asin(|r|), by Simpson's rule.
+_SIMPSON = """(SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+  * pow(cos({0} + (pi() / 2 - {0}) * i / 4000), n - 3)) * (pi() / 2 - {0}) FROM range(4001) t(i))"""
+_P = f"{_SIMPSON.format('asin(abs(r))')} / {_SIMPSON.format('0')}"
+
+
 @query(
     "d14_pearson",
-    """SELECT round(r, 6) AS r, n, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t FROM (
+    f"""SELECT round(r, 6) AS r, n, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t, round({_P}, 6) AS p FROM (
        SELECT corr(num_tracks, duration_ms) AS r, count(*) AS n FROM plist)""",
 )
 def _(s):
-    return rounded(profile.pearson(s.playlists, "num_tracks", "duration_ms"), "r", "t")
+    return rounded(profile.pearson(s.playlists, "num_tracks", "duration_ms"), "r", "t", "p")
+
+
+@query(
+    "d14_correlations_by_market",
+    f"""SELECT market, round(r, 6) AS r, n, round({_P}, 6) AS p FROM (
+       SELECT c_mktsegment AS market, corr(c_acctbal, c_custkey) AS r, count(*) AS n FROM customer GROUP BY c_mktsegment)""",
+)
+def _(s):
+    by = s.table("customer").groupBy(F.col("c_mktsegment").alias("market")).agg(
+        F.corr(F.col("c_acctbal").cast("double"), F.col("c_custkey").cast("double")).alias("r"), F.count(F.lit(1)).alias("n")
+    )
+    return rounded(by.withColumn("p", correlation_p_value(F.col("r"), F.col("n"))), "r", "p")
 
 
 def _corr_sql():

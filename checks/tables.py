@@ -54,6 +54,18 @@ def transitions_sql(source: str) -> str:
     )
 
 
+def semi_sql(hops: list[str]) -> str:
+    """The 500 best continuations by weights of several hops that count alike."""
+    weights = " UNION ALL ".join(f"SELECT pid, prev, weight FROM {h}" for h in hops)
+    return f"""
+        SELECT pid, rank, track_uri, CAST(score AS DOUBLE) AS score FROM (
+          SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, track_uri) AS rank FROM (
+            SELECT pid, next AS track_uri, sum(CAST(weight * p / {len(hops)} AS DECIMAL(26, 12))) AS score
+            FROM ({weights}) JOIN transitions USING (prev) GROUP BY ALL) c
+          WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.pid = c.pid AND s.track_uri = c.track_uri))
+        WHERE rank <= 500"""
+
+
 def metrics_sql(recs: str, truth: str, by: str = "") -> str:
     """Per-playlist metrics of ranked recommendations."""
     return f"""
@@ -165,21 +177,16 @@ TABLES: dict[str, str] = {
           SELECT pid, track_uri AS prev, count(*) AS m FROM seeds GROUP BY ALL)
         WHERE prev IN (SELECT prev FROM transitions)""",
     "full_recs": """
-        SELECT pid, rank, track_uri, score FROM (
+        SELECT pid, rank, track_uri, CAST(score AS DOUBLE) AS score FROM (
           SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, track_uri) AS rank FROM (
-            SELECT pid, next AS track_uri, round(sum(weight * p), 9) AS score
+            SELECT pid, next AS track_uri, sum(CAST(weight * p AS DECIMAL(26, 12))) AS score
             FROM known_seeds JOIN transitions USING (prev) GROUP BY ALL) c
           WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.pid = c.pid AND s.track_uri = c.track_uri))
         WHERE rank <= 500""",
-    "semi_recs": """
-        SELECT pid, rank, track_uri, score FROM (
-          SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, track_uri) AS rank FROM (
-            SELECT pid, next AS track_uri, round(sum(weight * p * 0.5), 9) AS score
-            FROM (SELECT pid, prev, weight FROM known_seeds UNION ALL
-              SELECT pid, b.next, sum(weight) FROM known_seeds JOIN best_next b USING (prev) GROUP BY ALL)
-            JOIN transitions USING (prev) GROUP BY ALL) c
-          WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.pid = c.pid AND s.track_uri = c.track_uri))
-        WHERE rank <= 500""",
+    "second_hop": "SELECT pid, b.next AS prev, sum(weight) AS weight FROM known_seeds JOIN best_next b USING (prev) GROUP BY ALL",
+    "third_hop": "SELECT pid, b.next AS prev, sum(weight) AS weight FROM second_hop JOIN best_next b USING (prev) GROUP BY ALL",
+    "semi_recs": semi_sql(["known_seeds", "second_hop"]),
+    "three_hop_recs": semi_sql(["known_seeds", "second_hop", "third_hop"]),
     "train_keys": """
         SELECT pid, key, md5('title:' || pid) AS tie FROM (SELECT pid, CASE WHEN
           len(list_filter(regexp_split_to_array(lower(name), '\\s+'), lambda x: x <> '')) > 0 THEN

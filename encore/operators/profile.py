@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from encore.functions.significance import correlation_p_value
 from encore.operators.quantiles import quantile_row
 from encore.operators.skew import salted_join
 
@@ -166,13 +167,13 @@ def name_collisions(tracks: DataFrame, given: DataFrame, uri: str = "artist_uri"
 
 
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Correlation r, row count and t statistic."""
+    """Correlation r, row count, t statistic and two-sided p-value."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
     both = df.where(x.isNotNull() & y.isNotNull())
     one = both.agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
     return one.withColumn(
         "t", F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
-    )
+    ).withColumn("p", correlation_p_value(F.col("r"), F.col("n")))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

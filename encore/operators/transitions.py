@@ -38,12 +38,13 @@ def best_next(transitions: DataFrame) -> DataFrame:
 def score_accumulate(step_scores: DataFrame, seeds: DataFrame, n: int = 500) -> DataFrame:
     """Sum the step scores of each candidate, drop seeds, keep the best ``n``.
 
-    Input step_scores (pid, track_uri, score), seeds (pid, track_uri).
+    Input step_scores (pid, track_uri, score), seeds (pid, track_uri). Sums are of decimals
+    with twelve places, so they do not depend on the order of addition.
     """
-    summed = step_scores.groupBy("pid", "track_uri").agg(F.round(F.sum("score"), 9).alias("score"))
+    summed = step_scores.groupBy("pid", "track_uri").agg(F.sum(F.col("score").cast("decimal(26,12)")).alias("score"))
     fresh = summed.join(seeds.select("pid", "track_uri").distinct(), ["pid", "track_uri"], "left_anti")
     return top_k_per(fresh, ["pid"], [F.desc("score"), "track_uri"], n).select(
-        "pid", "rank", "track_uri", "score"
+        "pid", "rank", "track_uri", F.col("score").cast("double").alias("score")
     )
 
 
@@ -68,18 +69,27 @@ def continue_full(seeds: DataFrame, transitions: DataFrame, n: int = 500) -> Dat
     return score_accumulate(_steps(_known_seeds(seeds, transitions), transitions), seeds, n)
 
 
-def continue_semi(seeds: DataFrame, transitions: DataFrame, n: int = 500) -> DataFrame:
-    """Semi-guided: steps alternate between a seed and its own best prediction."""
-    first = _known_seeds(seeds, transitions)
-    best = best_next(transitions).select("prev", "next", "total")
-    second = cut(
-        salted_join(first, best, "prev", "total")
-        .groupBy("pid", F.col("next").alias("prev"))
-        .agg(F.sum("weight").alias("weight"))
-    )
-    both = _steps(first, transitions).unionByName(_steps(second, transitions))
-    halves = both.withColumn("score", F.col("score") * 0.5)
-    return score_accumulate(halves, seeds, n)
+def continue_semi(seeds: DataFrame, transitions: DataFrame, n: int = 500, hops: int = 2) -> DataFrame:
+    """Semi-guided: after a seed, ``hops - 1`` steps follow the best prediction of the step before.
+
+    All steps count alike. With one hop this is ``continue_full``. The weights of each
+    further hop are one sparse product with the table of best items; they are
+    written, so a later hop does not repeat an earlier one, and no playlist ever has more
+    of them than it has seeds. Weight without a known continuation ends there.
+    """
+    if hops < 1:
+        raise ValueError("at least one hop")
+    weights = _known_seeds(seeds, transitions)
+    steps = _steps(weights, transitions)
+    best = cut(best_next(transitions).select("prev", "next", "total")) if hops > 1 else None
+    for _ in range(hops - 1):
+        weights = cut(
+            salted_join(weights, best, "prev", "total")
+            .groupBy("pid", F.col("next").alias("prev"))
+            .agg(F.sum("weight").alias("weight"))
+        )
+        steps = steps.unionByName(_steps(weights, transitions))
+    return score_accumulate(steps.withColumn("score", F.col("score") / hops), seeds, n)
 
 
 def next_item(seeds: DataFrame, transitions: DataFrame) -> DataFrame:
