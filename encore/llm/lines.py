@@ -1,20 +1,16 @@
-"""Line dedup: passages, or content-defined chunks of lines, removed where they repeat."""
+"""Line dedup: content-defined chunks of lines, removed where they repeat."""
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from encore.llm.blocks import _space, mix, prefix_hashes, span_hashes, text_blocks
+from encore.llm.blocks import _space, binaries, mix, prefix_hashes, ragged, span_hashes, text_blocks
 from encore.operators.skew import salted_join
 from encore.sources.workspace import cut
 
-DIVISOR = 3
-LONGEST = 32
-# A single line is a passage from so many words or bytes on.
+# A single line is a chunk from so many words or bytes on.
 LONG_WORDS = 50
 LONG_BYTES = 300
 NEWLINE = 10
@@ -29,112 +25,18 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.repeat(np.arange(len(offsets) - 1), per_row)
 
 
-def chunk_ends(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Whether a chunk ends behind each line.
-
-    The hash of a line and the one before it decides, so the same lines break alike
-    wherever they stand. Directly behind a break and behind a row's first line there
-    is none, so chunks have two lines or more but at the end of a row; long runs
-    without a break are cut every 32 lines.
-    """
-    n = len(hashes)
-    if not n:
-        return np.zeros(0, bool)
-    new = np.concatenate(([True], rows[1:] != rows[:-1]))
+def rolled(hashes: np.ndarray) -> np.ndarray:
+    """Hash of each line and the one behind it, rolled over the hashes of the lines."""
     with np.errstate(over="ignore"):
-        rolled = mix(np.concatenate(([np.uint64(0)], hashes[:-1])) * np.uint64(0x9DDFEA08EB382D69) + hashes)
-    hit = (rolled % np.uint64(DIVISOR) == 0) & ~new
-    ends = hit.copy()
-    ends[1:] &= ~hit[:-1]
-    ends[:-1] |= new[1:]
-    ends[-1] = True
-    after = np.concatenate(([0], np.flatnonzero(ends)[:-1] + 1))
-    place = np.arange(n) - np.repeat(after, np.diff(np.append(after, n)))
-    return ends | (place % LONGEST == LONGEST - 1)
-
-
-def chunks(docs: DataFrame, key: str, tie: str, text: str) -> DataFrame:
-    """(key, tie, place, start, length, h1, h2): chunks with two lines or more that hold anything but white space."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for part, data, offsets in text_blocks(batches, "_text"):
-            prefix = prefix_hashes(data)
-            starts, ends, rows = line_spans(data, offsets)
-            last = np.flatnonzero(chunk_ends(span_hashes(prefix, starts, ends), rows))
-            first = np.concatenate(([0], last[:-1] + 1))
-            solid = np.concatenate(([0], np.cumsum(~_space[data])))
-            full = np.concatenate(([0], np.cumsum(solid[ends] > solid[starts])))
-            many = full[last + 1] - full[first] >= 2
-            first, last = first[many], last[many]
-            row, lo, hi = rows[first], starts[first], ends[last]
-            h1 = span_hashes(prefix, lo, hi)
-            with np.errstate(over="ignore"):
-                h2 = (hi - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + span_hashes(prefix, lo, (lo + hi) // 2)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0).take(take), part.column(1).take(take), pa.array(first.astype(np.int64)),
-                    pa.array(lo - offsets[row]), pa.array(hi - lo), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                ],
-                names=["_key", "_tie", "place", "start", "length", "h1", "h2"],
-            )
-
-    plain = docs.select(F.col(key).alias("_key"), F.col(tie).alias("_tie"), F.col(text).alias("_text"))
-    schema = f"_key {kind}, _tie bigint, place bigint, start bigint, length bigint, h1 bigint, h2 bigint"
-    # Places are numbered within a block of rows; the start within the text orders them.
-    return plain.mapInArrow(run, schema).drop("place")
-
-
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_key, _tie, spans): byte spans of the chunks that another place holds first.
-
-    ``_tie`` is a hash of the text, so that rows are told apart by key and text. The
-    first place by key, text hash and position keeps a chunk. Hashes only say which
-    chunks may be equal: the bytes of each are compared with those of the first.
-    """
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
-    found = cut(chunks(rows, "_key", "_tie", "_text"))
-    place = F.struct("_key", "_tie", "start")
-    twice = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1")
-    some = found.join(twice, ["h1", "h2"]).withColumn("own", place.eqNullSafe(F.col("_first")))
-    listed = some.groupBy("_key", "_tie").agg(
-        F.collect_list(F.struct("start", "length", "h1", "h2", "own")).alias("_spans")
-    )
-    both = rows.alias("d").join(
-        listed.alias("l"), F.col("d._key").eqNullSafe(F.col("l._key")) & (F.col("d._tie") == F.col("l._tie"))
-    ).select("d._key", "d._tie", "d._text", "l._spans")
-
-    def bodies(batches):
-        for batch in batches:
-            for part, data, offsets in text_blocks([batch], "_text"):
-                spans = part.column(3)
-                inner, sizes = spans.flatten(), spans.value_lengths().to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(part.num_rows), sizes)
-                start, length = (inner.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                lo = offsets[row] + start
-                view = memoryview(np.ascontiguousarray(data))
-                body = [view[a:b].tobytes() for a, b in zip(lo.tolist(), (lo + length).tolist())]
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), *(inner.field(k) for k in range(5)), pa.array(body, pa.binary())],
-                    names=["_key", "_tie", "start", "length", "h1", "h2", "own", "body"],
-                )
-
-    kind = rows.schema["_key"].dataType.simpleString()
-    schema = f"_key {kind}, _tie bigint, start bigint, length bigint, h1 bigint, h2 bigint, own boolean, body binary"
-    texts = cut(both.mapInArrow(bodies, schema))
-    first = texts.where("own").groupBy("h1", "h2").agg(F.first("body").alias("_body"))
-    again = texts.where("NOT own").join(first, ["h1", "h2"]).where(F.col("body") == F.col("_body"))
-    span = F.struct("start", "length")
-    return again.groupBy("_key", "_tie").agg(F.sort_array(F.collect_set(span)).alias("_spans"))
+        return mix(hashes[:-1] * np.uint64(0x9DDFEA08EB382D69) + hashes[1:])
 
 
-def passages(docs: DataFrame, key: str, tie: str, text: str) -> DataFrame:
+def windows(docs: DataFrame, key: str, tie: str, text: str) -> DataFrame:
     """(_key, _tie, start, length, digest): every two neighbouring lines, and every long line.
 
     Lines of white space only are no lines of their own; those between two neighbours
-    belong to the pair. ``digest`` is the SHA-256 of the bytes of the span.
+    belong to the window. ``digest`` is the rolling hash over the line hashes and, as
+    white space counts too, the hash of the window's bytes.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -153,16 +55,16 @@ def passages(docs: DataFrame, key: str, tie: str, text: str) -> DataFrame:
             count = word[hi] - word[lo] + (filled[lo] & ~begins[lo])
             long = (count >= LONG_WORDS) | (hi - lo >= LONG_BYTES)
             pair = row[1:] == row[:-1]
-            first = np.concatenate((lo[:-1][pair], lo[long]))
-            last = np.concatenate((hi[1:][pair], hi[long]))
+            prefix = prefix_hashes(data)
+            own = span_hashes(prefix, lo, hi)
+            first, last = np.concatenate((lo[:-1][pair], lo[long])), np.concatenate((hi[1:][pair], hi[long]))
             row = np.concatenate((row[:-1][pair], row[long]))
-            view = memoryview(np.ascontiguousarray(data))
-            digest = [hashlib.sha256(view[a:b]).digest() for a, b in zip(first.tolist(), last.tolist())]
+            both = np.stack((np.concatenate((rolled(own)[pair], own[long])), span_hashes(prefix, first, last)), axis=1)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0).take(take), part.column(1).take(take), pa.array(first - offsets[row]),
-                    pa.array(last - first), pa.array(digest, pa.binary()),
+                    pa.array(last - first), binaries(both.ravel(), np.arange(0, 2 * len(row) + 1, 2)),
                 ],
                 names=["_key", "_tie", "start", "length", "digest"],
             )
@@ -171,18 +73,52 @@ def passages(docs: DataFrame, key: str, tie: str, text: str) -> DataFrame:
     return plain.mapInArrow(run, f"_key {kind}, _tie bigint, start bigint, length bigint, digest binary")
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_key, _tie, spans): byte spans of the pairs of lines and long lines that another place holds first.
+def window_bytes(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """(_key, _tie, start, length, digest, own, n, body): the bytes of the listed windows of each text."""
+    both = rows.alias("d").join(
+        listed.alias("l"), F.col("d._key").eqNullSafe(F.col("l._key")) & (F.col("d._tie") == F.col("l._tie"))
+    ).select("d._key", "d._tie", "d._text", "l._spans")
+    names = ["start", "length", "digest", "own", "n"]
+
+    def run(batches):
+        for batch in batches:
+            for part, data, offsets in text_blocks([batch], "_text"):
+                spans = part.column(3)
+                inner, sizes = spans.flatten(), spans.value_lengths().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(part.num_rows), sizes)
+                start, length = (inner.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                bounds = np.concatenate(([0], np.cumsum(length)))
+                body = binaries(data[ragged(offsets[row] + start, length)], bounds)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(take), part.column(1).take(take), *(inner.field(k) for k in range(5)), body],
+                    names=["_key", "_tie", *names, "body"],
+                )
+
+    kind = rows.schema["_key"].dataType.simpleString()
+    return both.mapInArrow(run, f"_key {kind}, _tie bigint, start bigint, length bigint, digest binary, own boolean, n bigint, body binary")
+
+
+def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_key, _tie, spans): byte spans of what another place holds first, as windows that make up chunks.
 
-    A passage of two lines or more is made up of its pairs, so all of it is found wherever
-    it stands and whatever stands around it. The order of places and ``_tie`` are those of
-    ``repeated_spans``; spans of a text may overlap. Equal digests stand for equal bytes.
+    The boundaries of chunks follow from the content: lines i and i + 1 are in one chunk
+    if the rolling hash over the two occurs in another place too, and there is a boundary
+    between them if it does not. So a repeated passage of two lines or more is a chunk
+    wherever it stands, whatever stands around it, and inserted or removed lines shift nothing; a long
+    line is a chunk of its own. Hashes only say what may be equal: every window is
+    removed only if its bytes are those of the window's first place by key, text hash and
+    position. ``_tie`` is a hash of the text, so that rows are told apart by key and text.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
-    found = cut(passages(rows, "_key", "_tie", "_text"))
+    found = cut(windows(rows, "_key", "_tie", "_text"))
     place = F.struct("_key", "_tie", "start")
-    twice = found.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1")
-    again = salted_join(found, twice, "digest", "_n").where(~place.eqNullSafe(F.col("_first")))
+    twice = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("_first")).where("n > 1")
+    some = salted_join(found, twice, "digest", "n").withColumn("own", place.eqNullSafe(F.col("_first")))
+    listed = some.groupBy("_key", "_tie").agg(F.collect_set(F.struct("start", "length", "digest", "own", "n")).alias("_spans"))
+    compared = cut(window_bytes(rows, listed))
+    first = compared.where("own").groupBy("digest").agg(F.first("body").alias("_body"), F.max("n").alias("_n"))
+    again = salted_join(compared.where("NOT own").drop("n"), first, "digest", "_n").where(F.col("body") == F.col("_body"))
     return again.groupBy("_key", "_tie").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_spans"))
 
 
@@ -198,24 +134,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def dedup_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "removed_lines") -> DataFrame:
-    """All rows with repeated passages taken out of the text, and how many lines went.
-
-    A passage is two lines or more, or one line of 50 words or 300 bytes. Its first place
-    by key, text hash and position stays, so the first place of any line stays too. For
-    the rest see ``dedup_lines``.
-    """
-    return _rebuilt(docs, repeated_passages(docs, key, text), key, text, removed)
-
-
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "removed_lines") -> DataFrame:
-    """All rows with repeated multi-line chunks taken out of the text, and how many lines went.
+    """All rows with repeated chunks taken out of the text, and how many lines went.
 
-    The first of equal chunks stays, by key, text and position. What is left keeps its
-    line breaks; a text of which all lines go is empty, null stays null. Rows with equal
-    key and text are one document, so they keep the same lines. A column named like
-    ``removed`` is replaced; all other columns stay as they are.
+    A chunk is two lines or more, or one line of 50 words or 300 bytes. Its first place
+    by key, text hash and position stays, so the first place of any line stays too. What
+    is left keeps its line breaks; a text of which all lines go is empty, null stays null.
+    Rows with equal key and text are one document, so they keep the same lines. An empty
+    table gives no row. A column named like ``removed`` is replaced; all other columns stay as they are.
     """
-    return _rebuilt(docs, repeated_spans(docs, key, text), key, text, removed)
+    return _rebuilt(docs, repeated_chunks(docs, key, text), key, text, removed)
 
 
 def _rebuilt(docs: DataFrame, spans: DataFrame, key: str, text: str, removed: str) -> DataFrame:

@@ -426,54 +426,6 @@ def test_code_estimates_are_unbiased_and_bounded():
     assert abs(np.mean(errors)) < 0.005
 
 
-def lines_brute(rows):
-    """Chunks cut by the same rule, compared as bytes; the first by key, text hash and place stays."""
-    from encore.llm.blocks import byte_view, prefix_hashes, span_hashes
-
-    data, offsets = byte_view(pa.array([t for _, t, _ in rows], pa.large_string()))
-    starts, ends, row = lines.line_spans(data, offsets)
-    stop = lines.chunk_ends(span_hashes(prefix_hashes(data), starts, ends), row)
-    pieces, lo = [], 0
-    for hi in np.flatnonzero(stop):
-        full = sum(bool(bytes(data[a:b]).strip()) for a, b in zip(starts[lo : hi + 1], ends[lo : hi + 1]))
-        if full >= 2:
-            pieces.append((rows[row[lo]][0], rows[row[lo]][2], int(starts[lo] - offsets[row[lo]]), bytes(data[starts[lo] : ends[hi]]), lo, hi))
-        lo = hi + 1
-    first, gone = {}, set()
-    for p in sorted(pieces):
-        if p[3] in first:
-            gone.update(range(p[4], p[5] + 1))
-        first.setdefault(p[3], p)
-    out = {}
-    for i, (k, _, _) in enumerate(rows):
-        own = [j for j in np.flatnonzero(row == i)]
-        out[k] = (b"\n".join(bytes(data[starts[j] : ends[j]]) for j in own if j not in gone).decode(), sum(j in gone for j in own))
-    return out
-
-
-def test_lines_match_brute_force(spark):
-    rng = random.Random(2)
-    passages = [texts_of(12, s, 12) for s in range(5)]
-    rows = []
-    for k in range(60):
-        own = texts_of(rng.randrange(1, 9), 50 + k, 9, 300)
-        at = rng.randrange(len(own) + 1)
-        rows.append((k, "\n".join(own[:at] + (rng.choice(passages) if k % 2 else []) + own[at:])))
-    rows += [(70, ""), (71, "\n\n\n"), (72, "ü\n" * 90)]
-    df = frame(spark, rows)
-    hashes = {r[0]: r[1] for r in df.select("doc_id", F.xxhash64("text")).collect()}
-    got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in lines.dedup_lines(df).collect()}
-    assert got == lines_brute([(k, t, hashes[k]) for k, t in rows])
-    assert sum(g[1] for g in got.values()) > 100
-
-
-def test_lines_odd_rows(spark):
-    done = lines.dedup_lines(odd(spark))
-    assert done.count() == len(odd_rows()) and set(odd(spark).columns) < set(done.columns)
-    assert done.where("text IS NULL").count() == 1
-    assert lines.dedup_lines(odd(spark, True)).count() == 0
-
-
 def passages_brute(rows):
     """Pairs of neighbouring lines with words and long lines, compared as bytes; the first by key, text hash and place stays."""
     found = []
@@ -623,9 +575,18 @@ def test_every_piece_of_a_word_is_a_candidate(spark):
     assert sorted((r["place"], r["part"], r["name"]) for r in both.collect()) == [(0, 1, "a"), (0, 3, "b"), (0, 5, "c")]
 
 
+def test_equal_hashes_remove_nothing_without_equal_bytes(spark, monkeypatch):
+    """All windows get the same digest; only those with the bytes of the first place go."""
+    real = lines.windows
+    monkeypatch.setattr(lines, "windows", lambda *a: real(*a).withColumn("digest", F.lit(b"same")))
+    rows = [(1, "a b\nc d"), (2, "x\na b\nc d\ny"), (3, "q r\ns t"), (4, "q r\ns t")]
+    got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in lines.dedup_passages(frame(spark, rows)).collect()}
+    assert got == {1: ("a b\nc d", 0), 2: ("x\ny", 2), 3: ("q r\ns t", 0), 4: ("q r\ns t", 0)}
+
+
 def test_every_operator_is_registered():
     names = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
