@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from encore.functions.titles import title_key
-from encore.operators.nearest import nearest
+from encore.operators.edit_join import edit_nearest
 from encore.operators.ranking import accumulate_until, hash_order, top_k_per
 from encore.operators.skew import salted_join
 from encore.sources.workspace import cut
@@ -34,7 +34,7 @@ def title_queries(lists: DataFrame) -> DataFrame:
 
 def title_distance(lists: DataFrame, train: DataFrame, m: int = 1) -> DataFrame:
     """(query, name, distance): the ``m`` nearest distinct train titles of each title."""
-    found = nearest(title_groups(train), title_queries(lists), m)
+    found = edit_nearest(title_groups(train), title_queries(lists), m)
     return found.select("query", "name", F.col("cost").cast("int").alias("distance"), "rank")
 
 
@@ -62,7 +62,7 @@ def nearest_titles(lists: DataFrame, train: DataFrame, m: int = TIES + 1) -> Dat
     keyed = train.select(
         "pid", title_key(F.col("name")).alias("name"), hash_order("title", "pid").alias("tie")
     ).where("name is not null")
-    found = nearest(title_groups(train), title_queries(lists), m)
+    found = edit_nearest(title_groups(train), title_queries(lists), m)
     asked = lists.select("pid", title_key(F.col("name")).alias("query"))
     return _expand(found, asked, keyed, "tie", m).withColumnRenamed("cost", "distance")
 
