@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from encore.operators.nearest import nearest
 from encore.operators.ranking import top_k_per
-from encore.operators.skew import salted_join
 from encore.sources.workspace import cut
 
 THRESHOLDS = (1, 3)
@@ -53,9 +52,11 @@ def query_pieces(queries: DataFrame, t: int) -> DataFrame:
 def candidates(texts: DataFrame, queries: DataFrame, t: int) -> DataFrame:
     """(name, query): distinct pairs that share a piece, among them all within ``t`` edits.
 
+    A piece that very many texts share is left to the skew handling of adaptive joins.
+
     ``texts`` has (name, item), ``queries`` (query, item) of at least ``PIECE`` * (t + 1) + t characters.
     """
-    met = salted_join(cut(text_pieces(texts, t)), query_pieces(queries, t), "key")
+    met = text_pieces(texts, t).join(query_pieces(queries, t), "key")
     return met.select("name", "query").distinct()
 
 
@@ -63,7 +64,7 @@ def within(texts: DataFrame, queries: DataFrame, t: int) -> DataFrame:
     """(query, name, cost): all pairs of at most ``t`` edits; see ``candidates``."""
     pairs = candidates(texts, queries, t)
     asked = queries.select("query", F.col("item").alias("_asked"))
-    both = salted_join(pairs.join(texts.select("name", "item"), "name"), asked, "query")
+    both = pairs.join(texts.select("name", "item"), "name").join(asked, "query")
     cost = F.levenshtein("_asked", "item", t)
     return both.withColumn("cost", cost.cast("double")).where("cost >= 0").select("query", "name", "cost")
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from encore.functions.titles import title_key
-from encore.operators.edit_join import edit_nearest
+from encore.operators.edit_join import THRESHOLDS, edit_nearest
 from encore.operators.ranking import accumulate_until, hash_order, top_k_per
 from encore.operators.skew import salted_join
 from encore.sources.workspace import cut
@@ -62,7 +62,9 @@ def nearest_titles(lists: DataFrame, train: DataFrame, m: int = TIES + 1) -> Dat
     keyed = train.select(
         "pid", title_key(F.col("name")).alias("name"), hash_order("title", "pid").alias("tie")
     ).where("name is not null")
-    found = edit_nearest(title_groups(train), title_queries(lists), m)
+    # More than the vote asks for at first is wanted only where near titles do not suffice.
+    thresholds = THRESHOLDS if m <= TIES + 1 else ()
+    found = edit_nearest(title_groups(train), title_queries(lists), m, thresholds)
     asked = lists.select("pid", title_key(F.col("name")).alias("query"))
     return _expand(found, asked, keyed, "tie", m).withColumnRenamed("cost", "distance")
 
