@@ -74,11 +74,11 @@ def windows(docs: DataFrame, key: str, tie: str, text: str) -> DataFrame:
 
 
 def window_bytes(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """(_key, _tie, start, length, digest, own, n, body): the bytes of the listed windows of each text."""
+    """(_key, _tie, start, length, digest, own, body): the bytes of the listed windows of each text."""
     both = rows.alias("d").join(
         listed.alias("l"), F.col("d._key").eqNullSafe(F.col("l._key")) & (F.col("d._tie") == F.col("l._tie"))
     ).select("d._key", "d._tie", "d._text", "l._spans")
-    names = ["start", "length", "digest", "own", "n"]
+    names = ["start", "length", "digest", "own"]
 
     def run(batches):
         for batch in batches:
@@ -91,12 +91,12 @@ def window_bytes(rows: DataFrame, listed: DataFrame) -> DataFrame:
                 body = binaries(data[ragged(offsets[row] + start, length)], bounds)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), *(inner.field(k) for k in range(5)), body],
+                    [part.column(0).take(take), part.column(1).take(take), *(inner.field(k) for k in range(4)), body],
                     names=["_key", "_tie", *names, "body"],
                 )
 
     kind = rows.schema["_key"].dataType.simpleString()
-    return both.mapInArrow(run, f"_key {kind}, _tie bigint, start bigint, length bigint, digest binary, own boolean, n bigint, body binary")
+    return both.mapInArrow(run, f"_key {kind}, _tie bigint, start bigint, length bigint, digest binary, own boolean, body binary")
 
 
 def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,10 +115,11 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     place = F.struct("_key", "_tie", "start")
     twice = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("_first")).where("n > 1")
     some = salted_join(found, twice, "digest", "n").withColumn("own", place.eqNullSafe(F.col("_first")))
-    listed = some.groupBy("_key", "_tie").agg(F.collect_set(F.struct("start", "length", "digest", "own", "n")).alias("_spans"))
+    listed = some.groupBy("_key", "_tie").agg(F.collect_set(F.struct("start", "length", "digest", "own")).alias("_spans"))
     compared = cut(window_bytes(rows, listed))
-    first = compared.where("own").groupBy("digest").agg(F.first("body").alias("_body"), F.max("n").alias("_n"))
-    again = salted_join(compared.where("NOT own").drop("n"), first, "digest", "_n").where(F.col("body") == F.col("_body"))
+    first = compared.where("own").groupBy("digest").agg(F.first("body").alias("_body"))
+    # Adaptive execution splits a digest with many rows; the other side has one row of it.
+    again = compared.where("NOT own").join(first, "digest").where(F.col("body") == F.col("_body"))
     return again.groupBy("_key", "_tie").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_spans"))
 
 
