@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from encore.operators.ranges import range_prefix_sum, range_rank
+from encore.operators.skew import salted_join
+from encore.sources.workspace import cut
+
 
 def hash_order(seed: int | str, *columns: str) -> Column:
     """Fixed pseudo-random order: hex md5 of ``seed:value:...``."""
@@ -85,30 +89,34 @@ def interleave(lists: DataFrame, key: str, item: str, n: int) -> DataFrame:
 
 
 def accumulate_until(df: DataFrame, key: str, step: str, item: str, n: int) -> DataFrame:
-    """Rows of the first steps that together hold at least ``n`` distinct items."""
-    news = df.groupBy(key, item).agg(F.min(step).alias(step)).groupBy(key, step).agg(
-        F.count(F.lit(1)).alias("_new")
+    """Rows of the first steps that together hold at least ``n`` distinct items.
+
+    Steps are added up in ranges of (key, step), so a key with a large part of all
+    rows is spread, and its rows are salted when they meet its last step.
+    """
+    news = df.groupBy(key, item).agg(F.min(step).alias(step), F.count(F.lit(1)).alias("_rows")).groupBy(key, step).agg(
+        F.count(F.lit(1)).alias("_new"), F.sum("_rows").alias("_rows")
     )
-    reached = Window.partitionBy(key).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    last = (
-        news.withColumn("_have", F.sum("_new").over(reached))
-        .where(F.col("_have") >= n)
-        .groupBy(key)
-        .agg(F.min(step).alias("_last"))
+    steps = cut(range_prefix_sum(news, "_new", [step], "_before", [key]))
+    last = steps.groupBy(key).agg(
+        F.min(F.when(F.col("_before") + F.col("_new") >= n, F.col(step))).alias("_last"), F.sum("_rows").alias("_rows")
     )
     return (
-        df.join(last, key, "left")
+        salted_join(df, last, key, "_rows", how="left")
         .where(F.col("_last").isNull() | (F.col(step) <= F.col("_last")))
-        .drop("_last")
+        .drop("_last", "_rows")
     )
 
 
 def ordered_distinct(df: DataFrame, key: str, item: str, rank: str = "rank", limit: int | None = None) -> DataFrame:
-    """Keep the first place of each item and rank anew; ``limit`` cuts the list before, if given."""
+    """Keep the first place of each item and rank anew; ``limit`` cuts the list before, if given.
+
+    Ranks of a list are unique. Places are counted in ranges of (key, rank), so one very
+    long list is many tasks.
+    """
     some = df if limit is None else df.where(F.col(rank) <= limit)
     first = some.groupBy(key, item).agg(F.min(rank).alias("_first"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("_first"))
-    return first.withColumn(rank, place).drop("_first")
+    return range_rank(first, ["_first"], rank, [key]).drop("_first")
 
 
 def first_hit(hits: DataFrame, key: str, rank: str = "rank") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from encore.operators.profile import popularity
-from encore.operators.ranking import hash_block, hash_order, prefix_sum, split_rank
+from encore.operators.ranges import range_prefix_sum
+from encore.operators.ranking import hash_block, hash_order, split_rank
 from encore.operators.skew import salted_join
 from encore.sources.workspace import cut
 
@@ -68,14 +69,11 @@ def append_eos(tracks: DataFrame) -> DataFrame:
 def corpus(encoded: DataFrame) -> DataFrame:
     """Add ``offset``: the place of each entry when all playlists are joined in pid order.
 
-    ``pos`` must be dense in each playlist.
+    ``pos`` must be dense in each playlist. Playlists are added up in ranges of ids, so
+    sparse or hashed ids give ranges of the same size as dense ones.
     """
-    sizes = (
-        cut(encoded.groupBy("pid").agg(F.count(F.lit(1)).alias("_n")))
-        .withColumn("_million", F.floor(F.col("pid") / 1000000))
-        .withColumn("_thousand", F.floor(F.col("pid") / 1000))
-    )
-    starts = prefix_sum(sizes, "_n", ["pid"], "_start", [], ["_million", "_thousand"])
+    sizes = encoded.groupBy("pid").agg(F.count(F.lit(1)).alias("_n"))
+    starts = range_prefix_sum(sizes, "_n", ["pid"], "_start")
     return salted_join(encoded, starts.select("pid", "_n", "_start"), "pid", "_n").select(
         "pid", "pos", "item_id", (F.col("_start") + F.col("pos")).alias("offset")
     )
