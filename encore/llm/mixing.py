@@ -7,9 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from encore.operators.ranges import range_prefix_sum, range_rank
+from encore.sources.workspace import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
-BLOCKS = 64
+# Hash blocks of a (source, size): at least so many, and one for so many documents of the table.
+BLOCKS, BLOCK_ROWS = 64, 50_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -17,38 +21,28 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def fill(sizes: list[int], weights: list[float], most: float = MAX_REPEATS) -> list[float]:
-    """Targets by weight that add up to all sizes and stop at ``most`` times a source's size.
+def targets(sizes: DataFrame, source: str, size: str, weights: tuple[float, ...] = (1, 2, 3), most: float = MAX_REPEATS) -> DataFrame:
+    """``sizes`` (one row per source) with ``_target``: by weight, all sizes together.
 
-    What a source cannot take is shared by weight among the others, until none is above.
-    """
-    target = [0.0] * len(sizes)
-    open_, rest = [i for i, s in enumerate(sizes) if s > 0], float(sum(sizes))
-    while open_:
-        unit = rest / sum(weights[i] for i in open_)
-        over = [i for i in open_ if unit * weights[i] > most * sizes[i]]
-        for i in over or open_:
-            target[i] = float(most * sizes[i]) if over else unit * weights[i]
-            rest -= target[i]
-        open_ = [i for i in open_ if i not in over] if over else []
-    return target
-
-
-def targets(sizes: DataFrame, source: str, size: str, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
-    """(source, source_size, target) for a table of (source, size) with one row per source.
-
-    Sources by code point, null last, take the weights in turn. The table of
-    sources comes to the driver: it has one row per source, never per document.
+    Sources by code point, null last, take the weights in turn. Targets stop at ``most`` times
+    a source's size; what such a source cannot take is shared by weight among the others,
+    until none is above. With the sources in rising order of size over weight that level is
+    the largest rest a unit of weight over all ways to close the first few of them, so two
+    prefix sums and one aggregate find it; sources without words get 0. Nothing of the
+    sources comes to the driver.
     """
-    rows = sorted(
-        sizes.select(source, size).collect(),
-        key=lambda r: (r[0] is None, str(r[0]).encode("utf-32-be", "surrogatepass") if r[0] is not None else b""),
-    )
-    wanted = fill([r[1] for r in rows], [weights[i % len(weights)] for i in range(len(rows))])
-    kind = sizes.schema[source].dataType.simpleString()
-    return sizes.sparkSession.createDataFrame(
-        [(r[0], int(r[1]), t) for r, t in zip(rows, wanted)], f"_source {kind}, _source_size bigint, _target double"
+    ordered = range_rank(sizes.withColumn("_null", F.col(source).isNull()).withColumn("_name", F.col(source).cast("string")), ["_null", "_name"], "_at")
+    turn = F.array(*[F.lit(float(w)) for w in weights])
+    weighed = ordered.withColumn("_weight", F.get(turn, (F.pmod(F.col("_at") - 1, F.lit(len(weights)))).cast("int"))).withColumn(
+        "_full", F.col(size) / F.col("_weight")
     )
+    asked = weighed.where(F.col(size) > 0).select("_full", "_null", "_name", "_weight", F.col(size).alias("_words"))
+    order = ["_full", "_null", "_name"]
+    closed = range_prefix_sum(range_prefix_sum(asked, "_words", order, "_closed"), "_weight", order, "_gone")
+    words, weight = asked.agg(F.sum("_words")).scalar(), asked.agg(F.sum("_weight")).scalar()
+    rest = closed.select(((words - most * F.col("_closed")) / (weight - F.col("_gone"))).alias("_rest"))
+    target = F.least(F.col("_weight") * rest.agg(F.max("_rest")).scalar(), F.lit(float(most)) * F.col(size))
+    return weighed.select(*sizes.columns, F.when(F.col(size) > 0, target).otherwise(0.0).alias("_target"))
 
 
 def rates(groups, most: float = MAX_REPEATS):
@@ -61,19 +55,22 @@ def rates(groups, most: float = MAX_REPEATS):
     """
     import pandas as pd
 
-    groups = groups.sort_values("size", ascending=False)
+    groups = groups.sort_values("_z", ascending=False)
     offset = float(groups["_offset"].iloc[0])
     wanted, left, at = float(groups["_target"].iloc[0]), int(groups["_source_size"].iloc[0]), 0.0
     out = []
-    for size, n in zip(groups["size"].tolist(), groups["_n"].tolist()):
-        rate = min(most, max(0.0, wanted / left))
+    for size, n in zip(groups["_z"].tolist(), groups["_n"].tolist()):
+        rate = min(most, max(0.0, wanted / left)) if size else 0.0
         out.append((rate, at))
         taken = math.floor(at + n * rate + offset) - math.floor(at + offset)
         wanted -= taken * size
         left -= n * size
         at = (at + n * rate) % 1.0
     return pd.DataFrame(
-        {"_s": groups["_source"], "_z": groups["size"], "_rate": [r for r, _ in out], "_from": [a for _, a in out]}
+        {
+            "_g": groups["_g"], "_z": groups["_z"], "_source_size": groups["_source_size"], "_target": groups["_target"],
+            "_rate": [r for r, _ in out], "_from": [a for _, a in out],
+        }
     )
 
 
@@ -98,43 +95,39 @@ def mix(
 
     Rates need the number of documents of each (source, size) only: one group per source,
     with a row per distinct size. Ranks go by blocks of a hash within a size, then by rows
-    inside a block, so neither a source nor a size with a third of all rows meets in one
-    task. Only sums per source come to the driver and are sent out.
+    inside a block. There are as many blocks as the number of documents asks for, so neither
+    a source nor a size with a third of all rows meets in one task at any scale. Documents
+    get what belongs to their source by the join of their block, so a hot source is spread
+    there too.
     """
     new = ("size", "source_size", "target", "copies")
     rows = docs.select(
-        F.struct(*[c for c in docs.columns if c not in new]).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"),
-        word_count(text).alias("size"), F.xxhash64(F.col(text)).alias("tie"),
-    ).withColumn("_block", F.pmod(F.xxhash64("key", "tie"), F.lit(BLOCKS)))
-    counts = rows.groupBy("source", "size", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    per_source = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("_words"))
-    wanted = F.broadcast(targets(per_source, "source", "_words", weights))
-
-    def before(part: list[str], order: str) -> Column:
-        frame = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_n").over(frame), F.lit(0))
-
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sizes = counts.where("size > 0").groupBy("source", "size").agg(F.sum("_n").alias("_n"))
-    sizes = sizes.join(wanted, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "_source", "size", "_n", "_source_size", "_target", offset.alias("_offset")
+        F.struct(*[c for c in docs.columns if c not in new]).alias("row"), F.col(key).alias("key"),
+        F.concat(F.col(source).isNull().cast("int").cast("string"), F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("_g"),
+        word_count(text).alias("_z"), F.xxhash64(F.col(text)).alias("tie"),
     )
-    kind = docs.schema[source].dataType.simpleString()
-    rated = sizes.groupBy("_source").applyInPandas(
-        lambda g: rates(g), f"_s {kind}, _z bigint, _rate double, _from double"
+    sized = cut(
+        docs.groupBy(F.col(source).alias("_source"), word_count(text).alias("_z")).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_g", F.concat(F.col("_source").isNull().cast("int").cast("string"), F.coalesce(F.col("_source").cast("string"), F.lit(""))))
+    )
+    n = sized.agg(F.sum("_n")).first()[0] or 0
+    blocks = max(BLOCKS, -(-n // BLOCK_ROWS))
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("key", "tie"), F.lit(blocks)))
+    per_source = sized.groupBy("_source", "_g").agg(F.sum(F.col("_z") * F.col("_n")).alias("_source_size"))
+    wanted = targets(per_source, "_source", "_source_size", weights).select("_g", "_source_size", "_target")
+    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    rated = sized.select("_g", "_z", "_n").join(wanted, "_g").withColumn("_offset", offset).groupBy("_g").applyInPandas(
+        lambda g: rates(g), "_g string, _z bigint, _source_size bigint, _target double, _rate double, _from double"
     )
-    blocks = counts.where("size > 0").withColumn("_earlier", before(["source", "size"], "_block")).drop("_n")
-    base = blocks.join(rated, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).select(
-        "_s", "_z", F.col("_block").alias("_b"), "_earlier", "_rate", "_from"
+    before = Window.partitionBy("_g", "_z").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = rows.groupBy("_g", "_z", "_block").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_g", "_z", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier")
     )
-    inside = Window.partitionBy("source", "size", "_block").orderBy("key", "tie")
-    placed = rows.withColumn("_in", F.row_number().over(inside)).join(
-        base, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_block") == F.col("_b")), "left"
-    ).join(wanted, F.col("source").eqNullSafe(F.col("_source")))
+    inside = Window.partitionBy("_g", "_z", "_block").orderBy("key", "tie")
+    placed = rows.withColumn("_in", F.row_number().over(inside)).join(earlier.join(rated, ["_g", "_z"]), ["_g", "_z", "_block"])
     end = F.col("_earlier") + F.col("_in")
     copies = F.floor(F.col("_from") + end * F.col("_rate") + offset) - F.floor(F.col("_from") + (end - 1) * F.col("_rate") + offset)
     return placed.select(
-        "row.*", "size",
-        F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        F.coalesce(copies, F.lit(0)).cast("long").alias("copies"),
+        "row.*", F.col("_z").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+        copies.cast("long").alias("copies"),
     )

@@ -367,10 +367,52 @@ def test_mixing_targets_and_copies(spark):
     assert mixing.mix(odd(spark)).count() == len(odd_rows())
 
 
-def test_mixing_targets_stop_at_three_times():
-    assert mixing.fill([10, 100, 100], [1, 2, 3]) == pytest.approx([30, 72, 108])
-    assert mixing.fill([1, 1, 1000], [3, 3, 1]) == pytest.approx([3, 3, 996])
-    assert mixing.fill([0, 5], [1, 1]) == [0, 5] and mixing.fill([], []) == []
+def fill(sizes, weights, most=3):
+    """Targets round by round: who is above the limit is closed, the rest is shared anew."""
+    target = [0.0] * len(sizes)
+    open_, rest = [i for i, s in enumerate(sizes) if s > 0], float(sum(sizes))
+    while open_:
+        unit = rest / sum(weights[i] for i in open_)
+        over = [i for i in open_ if unit * weights[i] > most * sizes[i]]
+        for i in over or open_:
+            target[i] = float(most * sizes[i]) if over else unit * weights[i]
+            rest -= target[i]
+        open_ = [i for i in open_ if i not in over] if over else []
+    return target
+
+
+def test_mixing_targets_match_rounds_of_sharing(spark):
+    rng = random.Random(12)
+    many = [(f"s{k:05}", rng.choice([0, 1, 2, 5, 50, 4000])) for k in range(3000)] + [("hot", 900_000), (None, 70), ("", 3), ("\U0001f600", 9), ("\uffee", 9)]
+    for rows in ([("a", 10), ("b", 100), (None, 100)], [("a", 0), ("b", 5)], [("a", 7)], many):
+        mixed = rows[:]
+        rng.shuffle(mixed)
+        got = mixing.targets(frame(spark, mixed, "source string, words long"), "source", "words").collect()
+        ordered = sorted(rows, key=lambda r: (r[0] is None, (r[0] or "").encode()))
+        wanted = fill([w for _, w in ordered], [1 + i % 3 for i in range(len(ordered))])
+        found = {r["source"]: r["_target"] for r in got}
+        assert len(found) == len(rows)
+        assert [found[s] for s, _ in ordered] == pytest.approx(wanted)
+        assert sum(wanted) == pytest.approx(sum(w for _, w in rows))
+    assert mixing.targets(frame(spark, [], "source string, words long"), "source", "words").count() == 0
+
+
+def test_mixing_matches_brute_force_draw(spark):
+    """A second draw: running sums in plain Python over documents in the operator's order of sizes."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(["w"] * rng.choice([0, 1, 4, 9, 200])), rng.choice(["a", "b", None, "hot", "hot"])) for k in range(1500)]
+    got = mixing.mix(frame(spark, rows, "doc_id long, text string, source string")).collect()
+    offset = spark.range(1).select(F.pmod(F.xxhash64(F.lit(11), F.lit("offset")), F.lit(1_000_003)) / 1_000_003.0).first()[0]
+    for source in {r[2] for r in rows}:
+        own = [r for r in got if r["source"] == source]
+        wanted, left, at = own[0]["target"], own[0]["source_size"], 0.0
+        for size in sorted({r["size"] for r in own} - {0}, reverse=True):
+            taken, n = [r["copies"] for r in own if r["size"] == size], sum(r["size"] == size for r in own)
+            rate = min(3, max(0.0, wanted / left))
+            expected = [int(np.floor(at + (i + 1) * rate + offset) - np.floor(at + i * rate + offset)) for i in range(n)]
+            assert sorted(taken) == sorted(expected)
+            wanted, left, at = wanted - sum(taken) * size, left - n * size, (at + n * rate) % 1.0
+        assert all(r["copies"] == 0 for r in own if r["size"] == 0)
 
 
 def vectors_brute(rows, limit=0.93):
