@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query, rounded
 from encore.functions.titles import epoch_day, hours_label
 from encore.functions.significance import correlation_p_value
-from encore.operators import binning, lookups, profile, ranking, segments
+from encore.operators import binning, lookups, profile, ranking, segments, sketches
 from encore.operators.skew import salted_join
 from encore.operators.split import split_report
 
@@ -230,6 +230,24 @@ def _(s):
     )
 
 
+@query(
+    "d6_distinct_counts_sketched",
+    """SELECT count(DISTINCT track_uri) AS tracks, count(DISTINCT artist_uri) AS artists,
+       count(DISTINCT track_name) AS names, true AS within FROM e_tracks""",
+)
+def _(s):
+    """Exact counts, and whether those of stored sketches of 16 parts lie within their error."""
+    columns, error = ["track_uri", "artist_uri", "track_name"], 0.02
+    parted = s.tracks.select(*columns, F.pmod(F.xxhash64("pid"), F.lit(16)).alias("part"))
+    parts = s.stored("distinct_sketches", lambda: sketches.distinct_sketches(parted, columns, ["part"], error))
+    merged = sketches.merged_distinct(parts, columns)
+    exact = s.tracks.agg(*[F.countDistinct(c).alias(n) for c, n in zip(columns, ("tracks", "artists", "names"))])
+    within = F.lit(True)
+    for c, n in zip(columns, ("tracks", "artists", "names")):
+        within = within & (F.abs(merged.select(c).scalar() - F.col(n)) <= error * F.col(n) + 1)
+    return exact.withColumn("within", within)
+
+
 def _describe_sql(column, source="plist", where="true"):
     x = f"CAST({column} AS DOUBLE)"
     stats = {

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query, rounded
 from checks.tables import _CLASSES
-from encore.operators import binning, profile, ranking, segments, split, vocab
+from encore.operators import binning, profile, ranking, segments, sketches, split, vocab
 from encore.functions.classes import edge_class
 from encore.sources.star import EVAL_SEED, KS, SPLIT_SEED, BUCKET_SEED, TEST_SHARE
 
@@ -155,6 +155,25 @@ def _(s):
     return rounded(parts[0].unionByName(parts[1]), "edge")
 
 
+@query(
+    "f1_quantile_edges_sketched",
+    """SELECT i / 10 AS prob, count(num_tracks) AS n, true AS within FROM plist, (SELECT unnest(range(1, 11)) AS i) GROUP BY i""",
+)
+def _(s):
+    """Deciles from one stored sketch per 16th of the playlists, and whether they keep their rank error."""
+    error, parted = 0.005, s.playlists.select("num_tracks", F.pmod(F.xxhash64("pid"), F.lit(16)).alias("part"))
+    parts = s.stored("track_sketches", lambda: sketches.quantile_sketches(parted, "num_tracks", ["part"], error))
+    found = sketches.merged_quantiles(parts, [i / 10 for i in range(1, 11)])
+    tenths = found.agg(F.collect_list(F.struct("prob", "value"))).scalar()  # ten entries
+    exact = s.playlists.select(F.col("num_tracks").cast("double").alias("x"), F.inline(tenths)).where("x is not null")
+    ranks = exact.groupBy("prob").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < F.col("value")).alias("below"), F.count_if(F.col("x") <= F.col("value")).alias("upto")
+    )
+    slack = error * F.col("n") + 1
+    within = (F.col("below") <= F.col("prob") * F.col("n") + slack) & (F.col("upto") >= F.col("prob") * F.col("n") - slack)
+    return ranks.select("prob", "n", within.alias("within"))
+
+
 @query("f2_quantile_class", "SELECT pid, num_tracks, num_tracks_class FROM strata")
 def _(s):
     return binning.with_quantile_class(s.playlists, ["num_tracks"]).select(

@@ -188,6 +188,22 @@ def _(s):
     return shown(title_vectors.similar_playlists(s.test_lists.where("k = 0"), s.train_lists, name_vectors(s)))
 
 
+@query(
+    "i8_similar_playlists_approx",
+    "SELECT count(*) AS pairs, true AS enough, true AS exact FROM similar_lists WHERE rank <= 100 AND similarity >= 0.9",
+)
+def _(s):
+    """Exact pairs of cosine 0.9 or more, whether 0.9 of them are found and every found one has its cosine."""
+    exact = similar(s).where("rank <= 100 AND similarity >= 0.9").select("pid", "candidate", "similarity")
+    found = title_vectors.similar_playlists_approx(s.test_lists, s.train_lists, name_vectors(s))
+    both = exact.join(found.select("pid", "candidate", F.col("similarity").alias("mine")), ["pid", "candidate"], "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("pairs"),
+        (F.count("mine") >= 0.9 * F.count(F.lit(1))).alias("enough"),
+        F.coalesce(F.max(F.abs(F.col("mine") - F.col("similarity"))) < 1e-9, F.lit(True)).alias("exact"),
+    )
+
+
 @query(
     "c5_nearest_by_cosine",
     """SELECT query, candidate, rank, similarity FROM (SELECT a.label AS query, b.vec_id AS candidate,

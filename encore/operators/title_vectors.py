@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from encore.functions.titles import Terms, title_tokens
@@ -63,6 +67,53 @@ def similar_playlists(lists: DataFrame, train: DataFrame, vectors: DataFrame, k:
     )
 
 
+def hash_tables(least: float, recall: float, ratio: float) -> int:
+    """Tables of random projections of which one holds a pair of cosine ``least`` with probability ``recall``.
+
+    Buckets are ``ratio`` times as wide as the distance of such a pair along a projection.
+    """
+    normal = 0.5 * (1 + math.erf(ratio / math.sqrt(2)))
+    met = 2 * normal - 1 - 2 / (math.sqrt(2 * math.pi) * ratio) * (1 - math.exp(-ratio * ratio / 2))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+
+
+def similar_playlists_approx(
+    lists: DataFrame, train: DataFrame, vectors: DataFrame, k: int = 100,
+    least: float = 0.9, recall: float = 0.95, ratio: float = 1.0, seed: int = 17,
+) -> DataFrame:
+    """(pid, rank, candidate, similarity): the up to ``k`` nearest train playlists with a cosine of ``least`` or more.
+
+    Titles meet in buckets of random projections, so of the pairs at the limit a share of about
+    ``recall`` is found, of closer ones more; what is returned has its exact cosine. Distinct
+    titles are compared, so a hot title is one vector. Lists without such a neighbour have no
+    rows. The exact form is :func:`similar_playlists`.
+    """
+    scaled = cut(unit(vectors))
+    size = scaled.agg(F.max(F.size("vec"))).first()[0]
+    if not size:
+        return scaled.select(
+            F.lit(0).cast("long").alias("pid"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("candidate"), F.lit(0.0).alias("similarity")
+        ).limit(0)
+    dense = scaled.select("name", array_to_vector("vec").alias("v"))
+    base = dense.join(train.select("name").where("name is not null").distinct(), "name")
+    queries = dense.join(lists.select("name").distinct(), "name").withColumnRenamed("name", "query")
+    distance = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
+    model = BucketedRandomProjectionLSH(
+        inputCol="v", outputCol="hashes", seed=seed, numHashTables=hash_tables(least, recall, ratio),
+        bucketLength=ratio * distance / math.sqrt(size),
+    ).fit(base)
+    met = model.approxSimilarityJoin(queries, base, distance, "distance")
+    found = met.select(
+        F.col("datasetA.query").alias("query"), F.col("datasetB.name").alias("name"),
+        (F.col("distance") * F.col("distance") / 2 - 1).alias("cost"),
+    )
+    nearest = top_k_per(found, ["query"], ["cost", "name"], k).drop("rank")
+    keyed = train.where("name is not null").select("pid", "name", F.col("pid").alias("tie"))
+    return _expand(nearest, lists.select("pid", F.col("name").alias("query")), keyed, "tie", k).select(
+        "pid", "rank", "candidate", (F.lit(0.0) - F.col("cost")).alias("similarity")
+    )
+
+
 def vote_by_similarity(similar: DataFrame, tracks: DataFrame, k: int = 100) -> DataFrame:
     """(pid, rank, track_uri, score): tracks by summed similarity over their mentions.
 
