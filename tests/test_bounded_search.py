@@ -94,3 +94,32 @@ def test_recommendations_by_given_factors(spark):
         got.setdefault(r["user"], []).append(r["item"])
     assert got == {u: brute(items, users[u], 20, known={i for a, i in known if a == u}) for u in range(12)}
     assert len(got[0]) == 10
+
+
+def test_blocks_pass_on_k_rows_per_query_whatever_the_clusters(spark, monkeypatch):
+    """With enough blocks lists are final in their task; known pairs and ties cross batch borders."""
+    for name, value in (("ROWS_PER_CENTRE", 32), ("CELL_ROWS", 50), ("CELL_QUERIES", 2), ("SCORES", 100), ("PAIRS", 64)):
+        monkeypatch.setattr(bounded_search, name, value)
+    x, q = vectors(8, 400, 4, 9, 0.3), vectors(9, 24, 4, 9, 0.3)
+    x[100:180] = x[100]  # more equal rows than a list is long
+    known = {(j, i) for j in range(24) for i in (5, 6, 100, 101, 300 + j)}
+    base = spark.createDataFrame([(i, i, x[i].tolist()) for i in range(400)], "name long, tie long, item array<double>")
+    asked = spark.createDataFrame([(j, q[j].tolist()) for j in range(24)], "query long, item array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found, _ = bounded_search.search(base, asked, 20, known=spark.createDataFrame(sorted(known), "query long, name long"))
+        assert "Window" not in found._jdf.queryExecution().toString()
+        got = {}
+        for r in sorted(found.collect(), key=lambda r: (r["query"], r["rank"])):
+            got.setdefault(r["query"], []).append(r["name"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {j: brute(x, q[j], 20, known={i for a, i in known if a == j}) for j in range(24)}
+
+
+def test_grid_deals_out_the_fewer_bytes():
+    """Many queries are cut into blocks only; few queries over many rows into slices."""
+    assert bounded_search._grid(1_200_000, 32, 250_000, 500, 24) == (8192, 1)
+    limit, slices = bounded_search._grid(1_200_000, 32, 100, 500, 24)
+    assert (limit, slices) == (100, 32)
+    assert bounded_search._blocks([(0, 3), (1, 4), (2, 25), (3, 1)], 10) == [(0, 0, 1), (1, 0, 1), (2, 1, 3), (3, 4, 1)]
