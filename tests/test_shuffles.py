@@ -21,7 +21,7 @@ def small_star(spark, folder):
         "part": ([(2, "red bolt", "Brand#1"), (5, None, "Brand#2")], "p_partkey long, p_name string, p_brand string"),
     }
     for name, (rows, schema) in tables.items():
-        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
     return Star(spark, str(folder))
 
 
