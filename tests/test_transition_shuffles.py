@@ -45,3 +45,17 @@ def test_heavy_items_are_totalled_across_tasks(spark, skewed):
     rows = [tuple(r) for r in skewed.select("pid", "pos", "track_uri").collect()]
     for max_gap in (1, 2):
         assert found(transitions.fit_transitions(skewed, max_gap)) == expected(rows, max_gap)
+
+
+def test_only_transitions_of_last_seeds_are_compared(spark, monkeypatch):
+    seen = []
+    best_next = transitions.best_next
+    monkeypatch.setattr(transitions, "best_next", lambda t: seen.extend(r["prev"] for r in t.collect()) or best_next(t))
+    table = spark.createDataFrame(
+        [("a", "b", 1, 3, 1 / 3), ("a", "c", 2, 3, 2 / 3), ("b", "a", 1, 1, 1.0), (None, "a", 1, 1, 1.0)],
+        "prev string, next string, n long, total long, p double",
+    )
+    seeds = spark.createDataFrame([(1, 0, "b"), (1, 1, "a"), (2, 0, "x"), (3, 0, None)], "pid long, pos long, track_uri string")
+    rows = [tuple(r) for r in transitions.next_item(seeds, table).collect()]
+    assert rows == [(1, "a", "c", 2 / 3)]
+    assert set(seen) == {"a"}
