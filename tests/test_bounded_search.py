@@ -123,3 +123,52 @@ def test_grid_deals_out_the_fewer_bytes():
     limit, slices = bounded_search._grid(1_200_000, 32, 100, 500, 24)
     assert (limit, slices) == (100, 32)
     assert bounded_search._blocks([(0, 3), (1, 4), (2, 25), (3, 1)], 10) == [(0, 0, 1), (1, 0, 1), (2, 1, 3), (3, 4, 1)]
+
+
+def got_lists(found):
+    lists = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query"], r["rank"])):
+        lists.setdefault(r["query"], []).append(r["name"])
+    return lists
+
+
+def test_no_rows_are_dealt_out_to_blocks(spark, monkeypatch):
+    """Many blocks read the packed rows where they were written once, near clusters first."""
+    for name, value in (("ROWS_PER_CENTRE", 16), ("CELL_QUERIES", 2), ("PACK_BYTES", 2000)):
+        monkeypatch.setattr(bounded_search, name, value, raising=False)
+    x = vectors(21, 300, 5, 8, 0.3)
+    known = {(j, j) for j in range(24)} | {(j, 6) for j in range(24)}
+    base = spark.createDataFrame([(i, i, x[i].tolist()) for i in range(300)], "name long, tie long, item array<double>")
+    asked = spark.createDataFrame([(j, x[j].tolist()) for j in range(24)], "query long, item array<double>")
+    pairs = spark.createDataFrame(sorted(known), "query long, name long")
+    for k in (15, 300):
+        found, _ = bounded_search.search(base, asked, k, known=pairs)
+        assert "Exchange" not in found._jdf.queryExecution().toString()
+        assert got_lists(found) == {j: brute(x, x[j], k, known={i for a, i in known if a == j}) for j in range(24)}
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-25, 1e25])
+def test_single_precision_loses_no_row(spark, scale):
+    """Scores that only doubles tell apart, also where single precision would over- or underflow."""
+    rng = np.random.default_rng(11)
+    x = np.ones((200, 3)) + rng.permutation(200)[:, None] * 1e-10
+    base = spark.createDataFrame([(i, i, (x[i] * scale).tolist(), f"g{i % 3}") for i in range(200)], "name long, tie long, item array<double>, group string")
+    asked = spark.createDataFrame([(j, x[j].tolist(), "g1") for j in range(4)], "query long, item array<double>, own string")
+    plain = got_lists(bounded_search.search(base, asked.drop("own"), 20)[0])
+    capped = got_lists(bounded_search.search(base, asked, 20, cap=4)[0])
+    for j in range(4):
+        assert plain[j] == brute(x * scale, x[j], 20)
+        assert capped[j] == brute(x * scale, x[j], 20, 4, [f"g{i % 3}" for i in range(200)], "g1")
+
+
+def test_seeds_are_stored_before_they_are_interleaved(spark, monkeypatch):
+    """A null is no seed's name; a seed comes first or not at all."""
+    seen, salted_join = [], item_vectors.salted_join
+    monkeypatch.setattr(item_vectors, "salted_join", lambda fact, *a, **b: seen.append(fact._jdf.queryExecution().optimizedPlan().toString()) or salted_join(fact, *a, **b))
+    seeds = spark.createDataFrame([(1, 0, "a"), (1, 2, "b"), (1, 5, "b"), (2, 1, "b"), (2, 4, None)], "pid long, pos long, track_uri string")
+    lists = spark.createDataFrame([("a", 1, "b"), ("a", 2, "c"), ("a", 3, None), ("b", 1, "d"), ("b", 2, "a"), ("b", 3, "c")], "seed string, rank int, item string")
+    bare = item_vectors.interleave_seeds(seeds, lists)
+    assert len(seen) == 1 and "Aggregate" not in seen[0]
+    assert sorted(map(tuple, bare.collect()), key=str) == sorted([(1, 1, "d"), (1, 2, "c"), (1, 3, None), (2, 1, "d"), (2, 2, "a"), (2, 3, "c")], key=str)
+    own = item_vectors.interleave_seeds(seeds, lists, with_seeds=True).where("pid = 1").orderBy("rank").collect()
+    assert [r["track_uri"] for r in own] == ["a", "b", "d", "c", None]
